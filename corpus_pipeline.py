@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import quality, simhash
+from ledgerloom.llm import mixing, quality, simhash, substring
 from ledgerloom.llm._util import materialize
 
 
@@ -22,7 +22,22 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("simhash_dedup", dedup_stage)]
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document with a smaller doc_id has go from the texts."""
+    return substring.without_repeats(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as their source's target takes them."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_dedup", dedup_stage),
+    ("substring_dedup", substring_stage),
+    ("mixing", mixing_stage),
+]
 
 #: No SQL: the n-gram model of the first stage and the merges of the last aren't expressible.
 ORACLE_SQL = None
