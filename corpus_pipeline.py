@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import mixing, quality, simhash, substring
+from ledgerloom.llm import bpe, mixing, quality, simhash, substring
 from ledgerloom.llm._util import materialize
 
 
@@ -32,11 +32,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mixed_documents(docs)
 
 
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, with digests of them and of what they decode to."""
+    return bpe.digests(docs, with_ids=True)
+
+
 STAGES = [
     ("quality_rules", quality_stage),
     ("simhash_dedup", dedup_stage),
     ("substring_dedup", substring_stage),
     ("mixing", mixing_stage),
+    ("bpe", bpe_stage),
 ]
 
 #: No SQL: the n-gram model of the first stage and the merges of the last aren't expressible.

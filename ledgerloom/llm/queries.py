@@ -7,13 +7,14 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import mixing, quality, simhash, substring
+from ledgerloom.llm import bpe, mixing, quality, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": quality.query,
         "op5_substring_dedup": substring.query,
+        "op7_bpe": bpe.query,
         "op8_mixing": mixing.query,
         "op9_simhash": simhash.query,
         "pipeline": corpus_pipeline.run,
