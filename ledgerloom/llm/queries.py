@@ -7,19 +7,21 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, mixing, quality, simhash, substring
+from ledgerloom.llm import bpe, langid, mixing, quality, simhash, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": warc.query,
         "op3_quality_rules": quality.query,
         "op5_substring_dedup": substring.query,
         "op7_bpe": bpe.query,
         "op8_mixing": mixing.query,
         "op9_simhash": simhash.query,
+        "op10_language_id": langid.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": warc.SQL}
