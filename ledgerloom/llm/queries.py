@@ -7,12 +7,13 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, langid, mixing, quality, simhash, substring, warc
+from ledgerloom.llm import bpe, langid, mixing, quality, simhash, substring, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.query,
+        "op2_toxicity": toxicity.query,
         "op3_quality_rules": quality.query,
         "op5_substring_dedup": substring.query,
         "op7_bpe": bpe.query,
