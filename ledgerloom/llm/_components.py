@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._util import materialize
+from ledgerloom.llm._util import map_arrow, materialize
 
 _PAIR = "u long, v long"
 
@@ -53,7 +53,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     with the logarithm of the longest path).
     """
     edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v")
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_contract, _PAIR)
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).transform(map_arrow, _contract, _PAIR)
     edges = materialize(edges.distinct(), "edges")
     before = None
     for _ in range(max_rounds):

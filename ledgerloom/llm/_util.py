@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of rows of a side table that is broadcast; above it, tables are shuffled and salted.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch that goes to a Python worker, so that long texts don't pile up there.
+BATCH_BYTES = "4m"
 #: Copies of each row of the smaller side when a join is salted.
 SALTS = 16
 
@@ -49,3 +51,9 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of BATCH_BYTES; sets the session's limit, which Spark reads when the plan runs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)

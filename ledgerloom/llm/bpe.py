@@ -21,11 +21,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from ledgerloom.llm._util import map_arrow
 
 #: Distinct words whose encodings a Python worker keeps; the table starts anew beyond.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Characters of text that are encoded together; a longer document is a batch of its own.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 
 #: Letters beyond which a word is merged by a heap.
 LONG_WORD = 200
@@ -308,7 +311,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), ids], [*names, "ids"])
 
     kept = docs.select(*names)
-    return kept.mapInArrow(run, kept.schema.add("ids", "array<int>"))
+    return kept.transform(map_arrow, run, StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -324,7 +327,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.string())], [*names, "decoded"])
 
     kept = rows.select(*names)
-    return kept.mapInArrow(run, kept.schema.add("decoded", "string"))
+    return kept.transform(map_arrow, run, StructType([*kept.schema.fields, StructField("decoded", StringType())]))
 
 
 def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -353,7 +356,7 @@ def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
             yield pa.RecordBatch.from_pydict(cols)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.transform(map_arrow, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._util import map_arrow
 from ledgerloom.llm._words import Hasher, blocks, row_of, spans
 
 BUCKETS = 1 << 16
@@ -145,7 +146,7 @@ def fit(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(have[at])], ["lang", "slot", "n"])
 
     rows = _training(docs.select("doc_id", "text", "lang")).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    table = rows.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    table = rows.transform(map_arrow, count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table["lang"].to_pylist()))
     which = {x: i for i, x in enumerate(langs)}
     counts = np.zeros((len(langs), 2 * BUCKETS + 64))
@@ -239,7 +240,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, with_spans
             done += len(w.offs) - 1
         return out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(label, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(map_arrow, label, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,13 +32,12 @@ BUCKET_DOCS, CHUNK = 1024, 4096
 CELL = 64
 
 WORD = r"[^\x20\x09-\x0D]+"
-_KEY = F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source")))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, key, size): words of every row; null texts have none."""
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")).withColumn("key", _KEY)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")).withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
 
 
 def targets(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._util import map_arrow
 from ledgerloom.llm._words import SPACE, Hasher, blocks, covered, mix, repeated, row_of, spans
 
 BUCKETS = 1 << 16
@@ -102,7 +103,7 @@ def log_ratios(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    counts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "bucket int, raw long, target long")
+    counts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, count, "bucket int, raw long, target long")
     rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = rows["bucket"].to_numpy()
@@ -140,7 +141,7 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, tru
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.concatenate(parts[k])) for k in names)], ["doc_id", *names])
 
     kinds = ", ".join(f"{k} long" for k in _BASE)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judge, f"doc_id long, {kinds}, base_failed boolean, kept boolean, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, judge, f"doc_id long, {kinds}, base_failed boolean, kept boolean, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
@@ -162,7 +163,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
             if keep.any():
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return docs.transform(map_arrow, sift, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._components import connected_components
-from ledgerloom.llm._util import join_small, materialize, shuffle_partitions
+from ledgerloom.llm._util import join_small, map_arrow, materialize, shuffle_partitions
 
 RADIUS = 2
 SHINGLE = 3
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
             fp = np.fromiter((fingerprint(t, words) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(map_arrow, run, "doc_id long, fp long")
 
 
 def close_lanes(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -182,7 +182,7 @@ def near_links(classes: DataFrame, hot: int = HOT, radius: int = RADIUS) -> Data
         sub = F.when(F.col("n") == n, F.array(*_keys(F.col("fp"), 1, 8, left))).otherwise(sub)
     keyed = keyed.withColumn("sub", F.explode(F.when(F.col("crowded"), sub).otherwise(F.array(F.lit(-1).cast("long"))))).select("key", "sub", "fp", "rep")
     dealt = keyed.repartition(shuffle_partitions(classes.sparkSession), "key", "sub").sortWithinPartitions("key", "sub", "fp")
-    return dealt.mapInArrow(_compare(radius), "u long, v long")
+    return dealt.transform(map_arrow, _compare(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._util import materialize, shuffle_partitions
+from ledgerloom.llm._util import map_arrow, materialize, shuffle_partitions
 from ledgerloom.llm._words import SPACE, Hasher, blocks, covered, mix, row_of, spans
 
 WINDOW = 50
 K = 20
 #: Rows that a task holds before it compacts them.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Rows of one k-mer beyond which its group is streamed in pieces.
 PIECE = 1 << 16
 
@@ -249,12 +249,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
         raise ValueError("k must be 1 to window, window - k under 64, window under 256")
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    dealt = rows.mapInArrow(_blocks_of(window, k), _ANCHOR).repartition(n, "key").sortWithinPartitions("key", "b1", "b2", "doc")
-    found = materialize(dealt.mapInArrow(_meet_blocks, _SPAN), "blocks")
+    dealt = rows.transform(map_arrow, _blocks_of(window, k), _ANCHOR).repartition(n, "key").sortWithinPartitions("key", "b1", "b2", "doc")
+    found = materialize(dealt.transform(map_arrow, _meet_blocks, _SPAN), "blocks")
     listed = lambda df: df.groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "tag")).alias("found"))
     asked = rows.join(listed(found.filter("expand")), "doc")
-    met = asked.mapInArrow(_expand(window), _WINDOW).repartition(n, "w1", F.when(F.col("w1") == 0, F.col("doc"))).sortWithinPartitions("w1", "w2", "doc")
-    windows = met.mapInArrow(_meet_windows, _SPAN)
+    met = asked.transform(map_arrow, _expand(window), _WINDOW).repartition(n, "w1", F.when(F.col("w1") == 0, F.col("doc"))).sortWithinPartitions("w1", "w2", "doc")
+    windows = met.transform(map_arrow, _meet_windows, _SPAN)
     return materialize(listed(found.filter("not expand").unionByName(windows)), "spans")
 
 
@@ -308,7 +308,7 @@ def digests(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     found = repeated_spans(docs, window, k)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = rows.join(found, rows["doc_id"] == found["doc"], "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(_removed(window, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.transform(map_arrow, _removed(window, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -318,7 +318,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
     """
     found = repeated_spans(docs, window, k).select(F.col("doc").alias("_doc"), F.col("found").alias("_found"))
     joined = docs.join(found, docs["doc_id"].cast("long") == found["_doc"], "left").drop("_doc")
-    out = joined.mapInArrow(_removed(window, True), docs.schema)
+    out = joined.transform(map_arrow, _removed(window, True), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._util import map_arrow
 from ledgerloom.llm._words import Hasher, blocks, mix, row_of, spans
 
 #: Most labelled documents to learn from, and most bytes of each such text (longer ones aren't learned from).
@@ -106,7 +107,7 @@ def lexicon(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(at, side, len(key)).astype(np.int64)), pa.array(np.bincount(at, ~side, len(key)).astype(np.int64))], ["key", "toxic", "other"])
 
     n1, n0 = int((toxic > 0).sum()), int((toxic <= 0).sum())
-    counts = _marked(docs, ids).mapInArrow(count, "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = _marked(docs, ids).transform(map_arrow, count, "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 - F.col("toxic") + 0.5)) - F.log((F.col("other") + 0.5) / (n0 - F.col("other") + 0.5))
     best = counts.filter(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).filter("odds > 1").orderBy(F.desc("odds"), "key").limit(LEXICON).toArrow()
     return Lexicon(best["key"].to_numpy().view(np.uint64), best["odds"].to_numpy())
@@ -244,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             ids_, n, at, x, y = zip(*out, strict=True) if out else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(n, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32())), pa.array(y, pa.list_(pa.float32()))], ["doc_id", "n", "at", "word", "begin"])
 
-    got = _marked(docs, ids).mapInArrow(sequences, "doc_id long, n int, at array<int>, word array<float>, begin array<float>").toArrow()
+    got = _marked(docs, ids).transform(map_arrow, sequences, "doc_id long, n int, at array<int>, word array<float>, begin array<float>").toArrow()
     got = got.sort_by("doc_id").combine_chunks()
     n = got["n"].to_numpy().astype(np.int64)
     y = (toxic[np.searchsorted(ids, got["doc_id"].to_numpy())] > 0).astype(float)
@@ -319,7 +320,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
             done += len(starts)
         return model.score(p, first), found
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,stop:int,p:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(map_arrow, run, "doc_id long, score double, spans array<struct<start:int,stop:int,p:double>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._util import join_small, materialize, shared_dir
+from ledgerloom.llm._util import join_small, map_arrow, materialize, shared_dir
 
 #: Payloads below this size are never revisits.
 MIN_REVISIT = 100
@@ -137,7 +137,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
                     yield _rows(rows)
 
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "length")
-    return files.repartition(max(1, files.count())).mapInArrow(run, _INDEX)
+    return files.repartition(max(1, files.count())).transform(map_arrow, run, _INDEX)
 
 
 _KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
@@ -187,7 +187,7 @@ def read(entries: DataFrame, gap: int = GAP, most: int = READ) -> DataFrame:
 
     chosen = entries.select(*names, F.expr(f"offset div {STRETCH}").alias("_stretch"))
     dealt = chosen.repartition("file", "_stretch").sortWithinPartitions("file", "offset").drop("_stretch")
-    return dealt.mapInArrow(run, f"{_INDEX}, http_length long, payload binary")
+    return dealt.transform(map_arrow, run, f"{_INDEX}, http_length long, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
