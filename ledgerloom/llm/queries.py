@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, langid, mixing, quality, simhash, substring, toxicity, warc
+from ledgerloom.llm import bpe, htmltext, langid, mixing, quality, simhash, substring, toxicity, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.query,
         "op2_toxicity": toxicity.query,
         "op3_quality_rules": quality.query,
+        "op4_embedding_dedup": vectors.query,
         "op5_substring_dedup": substring.query,
+        "op6_html_text": htmltext.query,
         "op7_bpe": bpe.query,
         "op8_mixing": mixing.query,
         "op9_simhash": simhash.query,
