@@ -1 +1,15 @@
-"""Part of the document-analytics engine; see the README."""
+"""Registered queries of the engine's own operators."""
+
+from __future__ import annotations
+
+from ledgerloom.plans import retrieval, texts
+
+_MODULES = (retrieval, texts)
+
+
+def queries():
+    return {name: q[0] for m in _MODULES for name, q in m.QUERIES.items()}
+
+
+def oracle_sql():
+    return {name: q[1] for m in _MODULES for name, q in m.QUERIES.items() if q[1]}
