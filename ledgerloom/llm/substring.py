@@ -33,6 +33,8 @@ WINDOW = 50
 K = 20
 #: Rows that a task holds before it compacts them.
 HELD = 1 << 18
+#: Kinds of blocks that a task passes on for one k-mer before it settles itself that the k-mer branches.
+KINDS = 8
 #: Rows of one k-mer beyond which its group is streamed in pieces.
 PIECE = 1 << 16
 
@@ -93,14 +95,29 @@ def _blocks_of(window: int, k: int):
         key, b1, b2, doc, lo, n, tag = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, first = _least(b1, b2, doc)
         keep, gone = order[first], np.sort(order[~first])
+        # k-mers with many kinds in this task branch: two of the kinds tell the others' task so, the rest go straight to be expanded
+        near = np.lexsort((doc[keep], key[keep]))
+        k = key[keep][near]
+        edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        last = np.r_[edge[1:], len(k)] - 1
+        d = doc[keep][near]
+        crowded = (last - edge >= KINDS) & (d[edge] < d[last])
+        straight = np.repeat(crowded, last - edge + 1)
+        straight[edge] = straight[last] = False
+        wide, keep = keep[near[straight]], keep[near[~straight]]
         yield pa.RecordBatch.from_arrays([_signed(key[keep]), _signed(b1[keep]), _signed(b2[keep]), pa.array(doc[keep]), pa.array((lo[keep] << (_TAG_BITS + _N_BITS)) | (n[keep] << _TAG_BITS) | tag[keep])], ["key", "b1", "b2", "doc", "at"])
+        if len(wide):
+            yield passed(doc[wide], lo[wide], n[wide], tag[wide] | (1 << _TAG_BITS))
         if len(gone):
             d, s, m, t = doc[gone], lo[gone], n[gone], tag[gone]
             new = np.ones(len(d), bool)
             new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + m[:-1])
             at = np.flatnonzero(new)
-            size = np.add.reduceat(m, at)
-            yield pa.RecordBatch.from_arrays([_signed(mix(d[at].astype(np.uint64))), pa.array(s[at]), pa.array(size), pa.array(d[at]), pa.array(-1 - t[at])], ["key", "b1", "b2", "doc", "at"])
+            yield passed(d[at], s[at], np.add.reduceat(m, at), t[at])
+
+    def passed(doc, lo, n, tag):
+        """Spans that are settled and only pass through the shuffle."""
+        return pa.RecordBatch.from_arrays([_signed(mix(doc.astype(np.uint64) + lo.astype(np.uint64))), pa.array(lo), pa.array(n), pa.array(doc), pa.array(-1 - tag)], ["key", "b1", "b2", "doc", "at"])
 
     def run(batches):
         hashers, parts, held = (Hasher(0), Hasher(1)), [], 0
@@ -161,7 +178,8 @@ def _meet_blocks(batches):
         cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         done = cols[4] < 0
         if done.any():
-            yield _spans(cols[3][done], -1 - cols[4][done], cols[1][done], cols[2][done], np.zeros(done.sum(), bool))
+            tag = -1 - cols[4][done]
+            yield _spans(cols[3][done], tag & ((1 << _TAG_BITS) - 1), cols[1][done], cols[2][done], tag >> _TAG_BITS > 0)
             cols = [c[~done] for c in cols]
         held = cols if held is None else [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
         if not len(held[0]):
