@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import retrieval, texts
+from ledgerloom.plans import pages, reports, retrieval, texts
 
-_MODULES = (retrieval, texts)
+_MODULES = (retrieval, texts, reports, pages)
 
 
 def queries():

@@ -283,11 +283,11 @@ AMOUNTS = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN
 
 def in_millions(spark, sf_dir):
     """Prices in different units, in millions."""
-    unit = F.element_at(F.array(*[F.lit(x) for x in ("USD", "thousand", " Million", "bn", "furlong")]), (F.col("l_orderkey") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(text.in_millions(F.col("l_extendedprice"), unit), 6).alias("millions"))
+    unit = F.element_at(F.array(*[F.lit(x) for x in ("k", "thousand", " Million", "pct", "furlong")]), (F.col("l_orderkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(text.in_millions(F.col("l_extendedprice"), unit), 7).alias("millions"))
 
 
-MILLIONS = "SELECT l_orderkey, l_linenumber, round(l_extendedprice * ([1e-6, 1e-3, 1.0, 1e3, 1.0])[l_orderkey % 5 + 1], 6) AS millions FROM lineitem"
+MILLIONS = "SELECT l_orderkey, l_linenumber, round(l_extendedprice * ([1e-3, 1e-3, 1.0, 1.0, 1.0])[l_orderkey % 5 + 1], 7) AS millions FROM lineitem"
 
 
 def anchors_present(spark, sf_dir):
