@@ -93,8 +93,8 @@ def schedule(sources: DataFrame) -> DataFrame:
 def streams(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """rows with `start`, the place of each document's first token in its source's shuffled stream, and the source's figures."""
     rows = join_small(rows, sources.select("key", "source_size", "n_docs", "target", "block"), ["key"])
-    spot = F.shiftrightunsigned(F.xxhash64("doc_id", "size", F.lit("mix")), 11)
-    rows = rows.withColumn("spot", spot).withColumn("bucket", F.floor(F.col("spot") / F.lit(float(1 << 53)) * F.ceil(F.col("n_docs") / BUCKET_DOCS)).cast("long"))
+    spot = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("size").cast("string"))), 1, 13), 16, 10).cast("long")
+    rows = rows.withColumn("spot", spot).withColumn("bucket", F.floor(F.col("spot") / F.lit(float(1 << 52)) * F.ceil(F.col("n_docs") / BUCKET_DOCS)).cast("long"))
     rows = materialize(rows, "rows")
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     earlier = F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -145,3 +145,28 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: what the mix takes of every document."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same result in closed form: passes over a source's stream and what is left of its target at the stream's start.
+SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, sum(size) AS n, 2 * sum(size) AS cap, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, sum(n) OVER () * 1.5 AS asked, sum(w) OVER () AS heavy,
+    coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    coalesce(sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lighter FROM s
+), f AS (
+  SELECT *, (asked - before) * w >= cap * (heavy - lighter) AS at_cap FROM o
+), t AS (
+  SELECT source, n, CAST(CASE WHEN at_cap THEN cap ELSE (asked - sum(CASE WHEN at_cap THEN cap ELSE 0 END) OVER ()) * w / sum(CASE WHEN at_cap THEN 0 ELSE w END) OVER () END AS DOUBLE) AS target FROM f
+), p AS (
+  SELECT d.*, CAST(t.n AS BIGINT) AS source_size, t.target, least(CAST(floor(t.target + 0.5) AS BIGINT), 2 * CAST(t.n AS BIGINT)) AS words,
+    CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY substr(md5(concat_ws('-', doc_id, size)), 1, 13), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size + greatest(0, least(start + size, words % source_size) - start) END AS BIGINT) AS taken
+FROM p
+"""

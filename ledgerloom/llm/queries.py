@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL}
+    return {"op1_warc": warc.SQL, "op5_substring_dedup": substring.SQL, "op8_mixing": mixing.SQL}

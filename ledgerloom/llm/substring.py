@@ -345,3 +345,21 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: what is left of every document."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+), m AS (
+  SELECT h, min(doc_id) AS first FROM s GROUP BY h
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM s JOIN m USING (h) WHERE first < doc_id
+), u AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d
+), k AS (
+  SELECT doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY i) AS t FROM u ANTI JOIN g USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
