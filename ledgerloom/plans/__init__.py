@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import documents, pages, reports, retrieval, texts
+from ledgerloom.plans import documents, overviews, pages, reports, retrieval, texts
 
-_MODULES = (retrieval, texts, reports, pages, documents)
+_MODULES = (retrieval, texts, reports, pages, documents, overviews)
 
 
 def queries():

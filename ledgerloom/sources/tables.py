@@ -194,3 +194,64 @@ _SAFE = re.compile(r"[^A-Za-z0-9._-]+")
 def safe_name(name: str) -> str:
     """A name that is a file name everywhere."""
     return _SAFE.sub("_", name).strip("_")
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Canonical pages as JSON in a folder for each document; a rerun replaces the documents it has."""
+    pages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").json(path)
+
+
+def read_ordered_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Pages written before, with their place in the document by number."""
+    pages = spark.read.schema(schema).json(path)
+    return with_row_order(pages, ["document_id"], ["pdf_page"], "page_order")
+
+
+def manifest(pages: DataFrame) -> DataFrame:
+    """One row per document: pages, by engine and by state."""
+    return pages.groupBy("document_id").agg(F.count("*").alias("pages"), *[F.sum((F.col("status") == s).cast("long")).alias(s) for s in ("pass", "warning", "fail")], F.array_sort(F.collect_set("engine")).alias("engines"))
+
+
+def create_collection(spark: SparkSession, name: str, dimension: int, recreate: bool = False) -> None:
+    """A table of points with vectors and payload, partitioned by method so that searches read one method only."""
+    if recreate:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    fields = "point_id STRING, chunk_id STRING, document_id STRING, ticker STRING, fiscal_year INT, period_years ARRAY<INT>, statement_type STRING, fiscal_period STRING, form_type STRING, contains_table BOOLEAN, contains_text BOOLEAN, content STRING, embedding ARRAY<FLOAT>, indices ARRAY<BIGINT>, weights ARRAY<DOUBLE>, method STRING"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet PARTITIONED BY (method) TBLPROPERTIES ('dimension' = '{int(dimension)}')")
+
+
+def attach_vectors(chunks: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """chunks with their vectors by key; raises ValueError unless every chunk has one."""
+    joined = chunks.join(vectors.select(key, "embedding"), key, "left")
+    missing = joined.filter(F.col("embedding").isNull()).count()
+    if missing:
+        raise ValueError(f"{missing} chunks have no vector")
+    return joined
+
+
+def encode_texts(df: DataFrame, column: str, encoder, batch: int = 64, prefix: str = "") -> DataFrame:
+    """df with `embedding`: unit vectors that encoder(list of texts) gives for each batch of texts behind a prefix; null texts are empty ones."""
+    import numpy as np
+
+    names = [c for c in df.columns if c != "embedding"]
+    kept = df.select(*names)
+
+    def run(batches):
+        for b in batches:
+            texts = [prefix + (x or "") for x in b.column(column).to_pylist()]
+            rows = [v for i in range(0, len(texts), batch) for v in np.asarray(encoder(texts[i : i + batch]), float)]
+            unit = [(v / n if (n := np.linalg.norm(v)) else v).astype(np.float32) for v in rows]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(unit, pa.list_(pa.float32()))], [*b.schema.names, "embedding"])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+
+
+def save_gold(gold: DataFrame, path: str) -> None:
+    """Questions as JSON lines."""
+    gold.select(F.to_json(F.struct(*gold.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def export_review(hits: DataFrame, path: str, limit: int = 1000) -> None:
+    """The first hits to be looked at by hand, one Markdown section each; `limit` is the report's length."""
+    row = F.format_string("## %s\n\nrank %s, score %s\n\n%s\n", F.col("query").cast("string"), F.col("rank").cast("string"), F.col("score").cast("string"), F.col("content"))
+    hits.orderBy("query", "rank").limit(limit).select(row.alias("value")).coalesce(1).write.mode("overwrite").text(path)
