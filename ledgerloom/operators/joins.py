@@ -17,3 +17,8 @@ def checked_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for a broadcast if it has at most `limit` rows; else df as it is, and Spark chooses the join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import metrics, multisets, search
+from ledgerloom.operators.joins import small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +45,7 @@ def _judged(spark, sf_dir):
     """Lexical hits with `relevant`: the document has the passage verbatim."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     hits = lexical_topk(spark, sf_dir)
-    marked = hits.join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(items.select("item_id", F.col("text").alias("passage"))), "item_id")
+    marked = hits.join(docs.select("doc_id", "text"), "doc_id").join(small(items.select("item_id", F.col("text").alias("passage"))), "item_id")
     return marked.select("item_id", F.col("doc_id").cast("string").alias("chunk_id"), "rank", F.contains("text", "passage").alias("relevant"))
 
 
@@ -73,7 +74,7 @@ per AS (
 def two_tier_report(spark, sf_dir):
     """Means over all passages and over those that some document has."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    held = docs.join(F.broadcast(items.select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage")).select("item_id").distinct().withColumn("held", F.lit(True))
+    held = docs.join(small(items.select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage")).select("item_id").distinct().withColumn("held", F.lit(True))
     questions = items.join(held, "item_id", "left").select("item_id", F.coalesce("held", F.lit(False)).alias("held"))
     out = metrics.two_tiers(lexical_hit_metrics(spark, sf_dir), questions, "item_id", F.col("held"), ["hit_1", "hit_5", "hit_10", "rr", "ndcg_10"])
     return out.select("tier", "questions", *[F.round(m, 5).alias(m) for m in ("hit_1", "hit_5", "hit_10", "rr", "ndcg_10")])
@@ -221,7 +222,7 @@ def ndcg_report(spark, sf_dir):
     """nDCG@10 and hit@5 of the dense search, a hit of the query's own label being relevant."""
     chunks, _ = _vectors(spark, sf_dir)
     label = chunks.select("vec_id", "label")
-    hits = dense_topk(spark, sf_dir).join(label, "vec_id").join(F.broadcast(label.filter("vec_id % 25 = 3").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))), "query_id")
+    hits = dense_topk(spark, sf_dir).join(label, "vec_id").join(small(label.filter("vec_id % 25 = 3").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))), "query_id")
     found = metrics.per_question(hits.withColumn("relevant", F.col("label") == F.col("own")), ["query_id"], (5, 10))
     return found.select("query_id", F.round("ndcg_10", 6).alias("ndcg_10"), "hit_5")
 

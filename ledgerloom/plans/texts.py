@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import metrics, multisets, windows
+from ledgerloom.operators.joins import small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -295,7 +296,7 @@ def anchors_present(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     asked = items.select("item_id", text.anchors(F.col("text")).alias("found"))
     words = docs.select("doc_id", text.plain_words(F.col("text")).alias("words"))
-    return words.join(F.broadcast(asked), text.anchors_present(F.col("found"), F.col("words"))).select("doc_id", "item_id")
+    return words.join(small(asked), text.anchors_present(F.col("found"), F.col("words"))).select("doc_id", "item_id")
 
 
 ANCHORS = r"""WITH n AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents),
@@ -319,7 +320,7 @@ def evidence_hits(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     chunks = windows.character_windows(docs.select("doc_id", "text"), ["doc_id"], "text").withColumn("squeezed", text.squeezed(F.col("content")))
     asked = items.select("item_id", F.substring(text.squeezed(F.col("text")), 1, 60).alias("head"))
-    return chunks.join(F.broadcast(asked), F.contains("squeezed", "head")).select("doc_id", "chunk_no", "item_id")
+    return chunks.join(small(asked), F.contains("squeezed", "head")).select("doc_id", "chunk_no", "item_id")
 
 
 EVIDENCE = r"""WITH w AS (SELECT doc_id, text, unnest(range(CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE CAST(ceil(greatest(length(text) - 1024, 0) / 994.0) AS BIGINT) + 1 END)) AS chunk_no FROM documents),
