@@ -61,6 +61,8 @@ MARKS = frozenset(
     "share sharing social subscribe subscription newsletter signup login search breadcrumb breadcrumbs pagination pager "
     "toolbar widget skip alert contentinfo complementary copyright hidden".split()
 )
+#: Beginnings of such words that are written together with others.
+MARK_STARTS = ("cookie", "advert", "sidebar", "newsletter", "breadcrumb", "popup", "footer", "sponsor", "navbar", "comments", "commentlist")
 #: Marks that hold even for an article or main element.
 STRICT = frozenset("ad ads advert advertisement sponsored promo comment comments reply related cookie hidden".split())
 #: Words of a class or an id that mark an article.
@@ -73,11 +75,12 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|aria-hidden|hidden)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _words(attributes: str) -> set[str]:
     """Words of class, id and role."""
-    return {w for m in _NAMED.finditer(attributes) if m[1].lower() in ("class", "id", "role") for w in _WORD.findall((m[2] or "").lower())}
+    return {w for m in _NAMED.finditer(attributes) if m[1].lower() in ("class", "id", "role") for w in _WORD.findall(_CAMEL.sub(" ", m[2] or "").lower())}
 
 
 def _marked(tag: str, attributes: str, inside: bool) -> bool:
@@ -95,7 +98,9 @@ def _marked(tag: str, attributes: str, inside: bool) -> bool:
         return False
     if "header" in words and not inside and tag not in ("article", "main", "h1", "h2"):
         return True
-    return bool(words & (STRICT if tag in ("article", "main") else MARKS))
+    if tag in ("article", "main"):
+        return bool(words & STRICT)
+    return bool(words & MARKS) or any(w.startswith(MARK_STARTS) for w in words)
 
 
 class Page:

@@ -70,6 +70,7 @@ TEXT = "Title & more\n\nFirst one, with commas; and more é text.\n\nSecond bold
         f"<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li><a href=1>menu</a></ul></nav><article>{ARTICLE}</article><footer>foot, foot.</footer>",
         f"<body><header>Site name</header><div class='ad'>Buy, now, all of this!</div><main>{ARTICLE}<div class='comments'><p>A comment, it is long, and has many commas, all in all.</div></main><aside>Side, side.</aside></body>",
         f"<body class=has-sidebar><div id=cookie-notice>We use cookies. Yes, we do, and more of it.</div><div class=content><header></header>{ARTICLE}<form><p>Name, please</p></form></div><script>var a='</p><p>no, no, no.';</script></body>",
+        f"<body><div id='topMenu'>A, b, c, d and more of the menu.</div><div class='cookiebar'>Cookies, cookies, and more cookies.</div><table><tr><td class=leftSidebar>Links, links, and links again.<td>{ARTICLE}</table><div class='siteFooter'>Foot, foot.</div>",
         ARTICLE,
     ],
 )
