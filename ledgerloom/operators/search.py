@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ FETCH, RETRY = 200, 400
 #: Queries whose vectors are sent to every task.
 QUERIES = 10_000
 
+#: Queries times terms up to which lexical weights are a matrix; chunks that are scored together.
+CELLS, DOCS = 5_000_000, 512
+
 FILTERS = ("ticker", "document_id", "fiscal_year", "period_year", "statement_type", "fiscal_period", "form_type", "contains_table", "contains_text")
 SELECTIVE = ("ticker", "fiscal_year", "statement_type", "document_id")
 
@@ -129,9 +133,66 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, item: str, query: str,
     return checked_join(posts, weighed, ["term"]).groupBy(query, item).agg(F.round(F.sum(part), digits).alias("score"))
 
 
-def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int, item: str = "doc_id", query: str = "item_id", **more) -> DataFrame:
-    """(query, item, score, rank) of the k best by BM25."""
-    return ranked(lexical_scores(chunks, queries, item, query, **more), query, item, k)
+def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int, item: str = "doc_id", query: str = "item_id", chunk_tokens: Column | None = None, query_tokens: Column | None = None, digits: int = 6) -> DataFrame:
+    """(query, item, score, rank) of the k best by BM25, of the chunks that share a term with the query.
+
+    Up to CELLS queries times terms, their weights are one matrix that every task gets; a batch of chunks is scored by a
+    product and keeps its own k best, so only these are shuffled. Beyond that, scores come from joins.
+    """
+    chunk_tokens = text.tokens(F.col("text")) if chunk_tokens is None else chunk_tokens
+    query_tokens = text.tokens(F.col("text")) if query_tokens is None else query_tokens
+    asked = queries.select(F.col(query).cast("long").alias(query), F.explode(F.array_distinct(query_tokens)).alias("term"))
+    sizes = asked.agg(F.count_distinct(query), F.count_distinct("term")).first()
+    if sizes[0] * sizes[1] > CELLS:
+        return ranked(lexical_scores(chunks, queries, item, query, chunk_tokens, query_tokens, digits), query, item, k)
+    table = asked.distinct().toArrow()
+    ids, at = np.unique(table.column(0).to_numpy(), return_inverse=True)
+    terms = pc.unique(table.column(1).combine_chunks())
+    rows = chunks.select(F.col(item).cast("long").alias(item), chunk_tokens.alias("tokens"))
+
+    def count(batches):
+        n = size = 0
+        df = np.zeros(len(terms), np.int64)
+        for b in batches:
+            doc, term, _, length = _term_counts(b, terms)
+            n, size = n + b.num_rows, size + int(length.sum())
+            df += np.bincount(term, minlength=len(terms))
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, -2, np.arange(len(terms))]), pa.array(np.r_[n, size, df])], ["key", "n"])
+
+    total = {r[0]: r[1] for r in rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n")).collect()}
+    n, mean = total.get(-1, 0), total.get(-2, 0) / max(total.get(-1, 0), 1) or 1.0
+    df = np.array([total.get(i, 0) for i in range(len(terms))], float)
+    weights = np.zeros((len(terms), len(ids)))
+    which = pc.index_in(table.column(1).combine_chunks(), value_set=terms).to_numpy()
+    weights[which, at] = np.log(1 + (n - df[which] + 0.5) / (df[which] + 0.5)) * (K1 + 1)
+
+    def best(batches):
+        for b in batches:
+            items = b.column(0).to_numpy(zero_copy_only=False)
+            doc, term, tf, length = _term_counts(b, terms)
+            for lo in range(0, b.num_rows, DOCS):
+                hi = min(lo + DOCS, b.num_rows)
+                own = slice(*np.searchsorted(doc, [lo, hi]))
+                part = np.zeros((hi - lo, len(terms)))
+                part[doc[own] - lo, term[own]] = tf[own] / (tf[own] + K1 * (1 - B + B * length[doc[own]] / mean))
+                scores = np.round((part @ weights).T, digits)
+                order = np.lexsort((np.broadcast_to(items[lo:hi], scores.shape), -scores), axis=1)[:, :k]
+                top = np.take_along_axis(scores, order, 1)
+                some = top > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1]).reshape(order.shape)[some]), pa.array(items[lo:hi][order][some]), pa.array(top[some])], [query, item, "score"])
+
+    return ranked(rows.mapInArrow(best, f"{query} long, {item} long, score double"), query, item, k)
+
+
+def _term_counts(b: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch (item, tokens): row, term and count of every term that a row has, by row; and the rows' sizes."""
+    lists = b.column(1)
+    length = np.diff(lists.offsets.to_numpy())
+    found = pc.index_in(lists.flatten(), value_set=terms)
+    known = found.is_valid().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(b.num_rows), length)[known]
+    code, tf = np.unique(row * len(terms) + found.drop_null().to_numpy(), return_counts=True)
+    return code // len(terms), code % len(terms), tf, length
 
 
 def fuse(legs: list[DataFrame], query: str, item: str, k: int, constant: int = RRF_K, digits: int = 9) -> DataFrame:

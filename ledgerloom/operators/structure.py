@@ -7,6 +7,7 @@ per document over blocks sorted by page and number; a document is the largest gr
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
@@ -222,41 +223,54 @@ def stitch(items: list[dict]) -> Document:
     return doc
 
 
-def _sorted_blocks(table: pa.Table) -> list[dict]:
-    return table.sort_by([("pdf_page", "ascending"), ("block_no", "ascending")]).to_pylist()
+def per_document(block_rows: DataFrame, work: Callable[[list[dict]], list[dict]], schema: str, arrow: pa.Schema) -> DataFrame:
+    """work(blocks of one document in order) for every document, as rows of the schema.
+
+    Documents are dealt by id, sorted within a task and streamed, so that many small ones cost no more than their rows;
+    one document's blocks are in memory at a time.
+    """
+
+    def run(batches):
+        held: list[dict] = []
+        for b in batches:
+            out: list[dict] = []
+            for r in b.to_pylist():
+                if held and held[0]["document_id"] != r["document_id"]:
+                    out += work(held)
+                    held = []
+                held.append(r)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+        if held:
+            yield pa.RecordBatch.from_pylist(work(held), arrow)
+
+    dealt = block_rows.repartition("document_id").sortWithinPartitions("document_id", "pdf_page", "block_no")
+    return dealt.mapInArrow(run, schema)
 
 
 def stitched_tables(block_rows: DataFrame) -> DataFrame:
     """(document_id, table_no, table_id, heading, headers, rows, source_pages, source_tables, footnotes, is_multi_page)."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = _sorted_blocks(table)
+    def work(rows: list[dict]) -> list[dict]:
         doc = stitch(rows)
-        out = [{"document_id": rows[0]["document_id"], "table_no": i, "table_id": t.table_id, "heading": t.heading, "headers": t.headers, "rows": t.rows, "source_pages": t.pages, "source_tables": t.sources, "footnotes": t.footnotes, "is_multi_page": len(t.pages) > 1} for i, t in enumerate(doc.tables)]
-        schema = pa.schema([("document_id", pa.string()), ("table_no", pa.int32()), ("table_id", pa.string()), ("heading", pa.string()), ("headers", _LIST), ("rows", _ROWS), ("source_pages", pa.list_(pa.int32())), ("source_tables", _LIST), ("footnotes", _LIST), ("is_multi_page", pa.bool_())])
-        return pa.Table.from_pylist(out, schema)
-
-    return block_rows.groupBy("document_id").applyInArrow(run, "document_id string, table_no int, table_id string, heading string, headers array<string>, rows array<array<string>>, source_pages array<int>, source_tables array<string>, footnotes array<string>, is_multi_page boolean")
+        return [{"document_id": rows[0]["document_id"], "table_no": i, "table_id": t.table_id, "heading": t.heading, "headers": t.headers, "rows": t.rows, "source_pages": t.pages, "source_tables": t.sources, "footnotes": t.footnotes, "is_multi_page": len(t.pages) > 1} for i, t in enumerate(doc.tables)]
+    arrow = pa.schema([("document_id", pa.string()), ("table_no", pa.int32()), ("table_id", pa.string()), ("heading", pa.string()), ("headers", _LIST), ("rows", _ROWS), ("source_pages", pa.list_(pa.int32())), ("source_tables", _LIST), ("footnotes", _LIST), ("is_multi_page", pa.bool_())])
+    return per_document(block_rows, work, "document_id string, table_no int, table_id string, heading string, headers array<string>, rows array<array<string>>, source_pages array<int>, source_tables array<string>, footnotes array<string>, is_multi_page boolean", arrow)
 
 
 def stitched_sections(block_rows: DataFrame) -> DataFrame:
     """(document_id, section_no, code, title, text, source_pages, n_blocks); sections without blocks are left out."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = _sorted_blocks(table)
-        out = [{"document_id": rows[0]["document_id"], "section_no": i, "code": s.code, "title": s.title, "text": s.text, "source_pages": s.pages, "n_blocks": len(s.blocks)} for i, s in enumerate(stitch(rows).sections) if s.blocks]
-        schema = pa.schema([("document_id", pa.string()), ("section_no", pa.int32()), ("code", pa.string()), ("title", pa.string()), ("text", pa.string()), ("source_pages", pa.list_(pa.int32())), ("n_blocks", pa.int32())])
-        return pa.Table.from_pylist(out, schema)
-
-    return block_rows.groupBy("document_id").applyInArrow(run, "document_id string, section_no int, code string, title string, text string, source_pages array<int>, n_blocks int")
+    def work(rows: list[dict]) -> list[dict]:
+        return [{"document_id": rows[0]["document_id"], "section_no": i, "code": s.code, "title": s.title, "text": s.text, "source_pages": s.pages, "n_blocks": len(s.blocks)} for i, s in enumerate(stitch(rows).sections) if s.blocks]
+    arrow = pa.schema([("document_id", pa.string()), ("section_no", pa.int32()), ("code", pa.string()), ("title", pa.string()), ("text", pa.string()), ("source_pages", pa.list_(pa.int32())), ("n_blocks", pa.int32())])
+    return per_document(block_rows, work, "document_id string, section_no int, code string, title string, text string, source_pages array<int>, n_blocks int", arrow)
 
 
 def page_links(block_rows: DataFrame) -> DataFrame:
     """(document_id, kind, name, from_page, to_page): what goes on across pages."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = _sorted_blocks(table)
-        out = [{"document_id": rows[0]["document_id"], "kind": k, "name": n, "from_page": a, "to_page": b} for k, n, a, b in stitch(rows).links]
-        return pa.Table.from_pylist(out, pa.schema([("document_id", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("from_page", pa.int32()), ("to_page", pa.int32())]))
-
-    return block_rows.groupBy("document_id").applyInArrow(run, "document_id string, kind string, name string, from_page int, to_page int")
+    def work(rows: list[dict]) -> list[dict]:
+        return [{"document_id": rows[0]["document_id"], "kind": k, "name": n, "from_page": a, "to_page": b} for k, n, a, b in stitch(rows).links]
+    arrow = pa.schema([("document_id", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("from_page", pa.int32()), ("to_page", pa.int32())])
+    return per_document(block_rows, work, "document_id string, kind string, name string, from_page int, to_page int", arrow)
