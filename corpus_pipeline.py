@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, mixing, quality, simhash, substring
+from ledgerloom.llm import bpe, mixing, nearcopy, quality, substring
 from ledgerloom.llm._util import materialize
 
 
@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies the document with the smallest doc_id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest doc_id stays."""
+    return nearcopy.keep_first(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
