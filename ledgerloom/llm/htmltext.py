@@ -245,7 +245,7 @@ class Page:
             for i in range(node + 1, len(inside)):
                 inside[i] = inside[self.parent[i]]
             own = inside[np.array(self.nodes)]
-            chosen = (chosen & own) | (own & (np.array(self.links) <= LINKS * length))
+            chosen = chosen | (own & (np.array(self.links) <= LINKS * length))
         return "\n\n".join(t for t, c in zip(self.texts, chosen.tolist(), strict=True) if c)
 
 
