@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +18,7 @@ RRF_K = 60
 K1, B = 1.5, 0.75
 #: Hits that are ranked before a filter that comes after ranking, and on the second try.
 FETCH, RETRY = 200, 400
-#: Queries whose vectors are sent to every task.
+#: Queries of one block, whose vectors are sent to every task.
 QUERIES = 10_000
 
 #: Queries times terms up to which lexical weights are a matrix; chunks that are scored together.
@@ -63,16 +65,20 @@ def ranked(hits: DataFrame, query: str, item: str, k: int, score: str = "score")
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", query: str = "query_id", digits: int = 5) -> DataFrame:
+def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", query: str = "query_id", digits: int = 5, _depth: int = 0) -> DataFrame:
     """(query, item, score, rank): exact inner products of every query with every chunk, the k best of each query.
 
-    chunks(item, embedding), queries(query, vector), at most QUERIES of them, whose vectors go to every task; each batch
-    of chunks keeps its own k best before anything is shuffled, so the exchange is small whatever the table's size.
-    Scores are rounded before they are ranked, ties go to the smaller id.
+    chunks(item, embedding), queries(query, vector), whose vectors go to every task; more than QUERIES of them are
+    searched in blocks by a hash of the query's id, each over all chunks. Each batch of chunks keeps its own k best
+    before anything is shuffled, so the exchange is small whatever the table's size. Scores are rounded before they are ranked, ties go to the smaller id.
     """
     asked = queries.select(F.col(query).cast("long"), F.col("vector").cast("array<double>")).limit(QUERIES + 1).toArrow()
     if len(asked) > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries: search them in parts")
+        if _depth == 8:
+            raise ValueError(f"more than {QUERIES} rows of one query")
+        blocks = -(-queries.count() // QUERIES)
+        block = F.pmod(F.xxhash64(F.col(query).cast("long"), F.lit(_depth)), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [dense_topk(chunks, queries.filter(block == i), k, item, query, digits, _depth + 1) for i in range(blocks)])
     ids = asked.column(0).to_numpy()
     matrix = np.array(asked.column(1).to_pylist(), float).reshape(len(ids), -1)
 
