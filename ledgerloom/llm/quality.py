@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._util import map_arrow
-from ledgerloom.llm._words import SPACE, Hasher, blocks, covered, mix, repeated, row_of, spans
+from ledgerloom.llm._words import SPACE, blocks, covered, mix, repeated, row_of, slices_of, spans, word_hashes
 
 BUCKETS = 1 << 16
 #: Most labelled good documents that the target multinomial is fitted on.
@@ -40,14 +40,13 @@ def _sum_rows(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The words of a block of documents and what the rules count in them."""
+    """The words of a block of documents and what the rules count in them; all counts compare bytes, not hashes."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, hasher: Hasher):
-        self.buf, self.offs, self.hasher = buf, offs, hasher
+    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+        self.buf, self.offs = buf, offs
         self.inside = ~SPACE[buf]
         self.starts, self.ends, self.first = spans(self.inside, offs)
-        self.sums = hasher.sums(buf)
-        self.words = hasher.slices(self.sums, self.starts, self.ends)
+        self.words, self.distinct = slices_of(buf, self.inside, self.starts, self.ends)
         self.row = row_of(self.first)
 
     def base(self) -> dict[str, np.ndarray]:
@@ -58,27 +57,38 @@ class Block:
         starts, ends, first = spans(buf != 10, offs)
         row = row_of(first)
         full = np.searchsorted(self.starts, ends) > np.searchsorted(self.starts, starts)
-        key = mix(self.hasher.slices(self.sums, starts, ends)[full] + mix(row[full].astype(np.uint64) + np.uint64(1)))
-        new = row[full][np.unique(key, return_index=True)[1]]
+        lines, kinds = slices_of(buf, buf != 10, starts, ends)
+        new = np.unique(row[full] * max(len(kinds), 1) + lines[full]) // max(len(kinds), 1)
         out["n_dup_lines"] = np.bincount(row[full], minlength=n) - np.bincount(new, minlength=n)
         k = REPEAT_WINDOW
         last = np.repeat(self.first[1:], np.diff(self.first)) - k
         at = np.flatnonzero(np.arange(len(self.words)) <= last)
-        key = self.hasher.grams(self.hasher.gram_sums(self.words), at, at + k)
-        twice = at[repeated(mix(key + mix(self.row[at].astype(np.uint64) + np.uint64(1))))]
-        out["n_repeat_words"] = _sum_rows(covered(len(self.words), twice, k), self.first)
+        out["n_repeat_words"] = _sum_rows(covered(len(self.words), self._twice(at, k), k), self.first)
         return out
 
+    def _twice(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Those of the windows of k words that start at `at` which occur twice or more in their text."""
+        key = mix(self.row[at].astype(np.uint64) + np.uint64(1))
+        for i in range(k):
+            key = mix(key + self.words[at + i].astype(np.uint64))
+        at = at[repeated(key)]  # a superset: equal windows have equal keys
+        if not len(at):
+            return at
+        rows = np.column_stack([self.row[at], self.words[at[:, None] + np.arange(k)]])
+        rows = np.ascontiguousarray(rows).view([("", rows.dtype)] * rows.shape[1]).ravel()
+        return at[repeated(np.unique(rows, return_inverse=True)[1])]
+
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """(row, bucket) of each unigram and each bigram."""
+        words = word_hashes(self.distinct)[:, 0][self.words]
         pair = np.flatnonzero(self.row[1:] == self.row[:-1]) if len(self.row) else np.zeros(0, np.int64)
-        two = mix(self.words[pair] * np.uint64(3) + self.words[pair + 1]) if len(pair) else np.zeros(0, np.uint64)
-        return np.concatenate([self.row, self.row[pair]]), (np.concatenate([self.words, two]) >> np.uint64(48)).astype(np.int64)
+        two = mix(words[pair] * np.uint64(3) + words[pair + 1]) if len(pair) else np.zeros(0, np.uint64)
+        return np.concatenate([self.row, self.row[pair]]), (np.concatenate([words, two]) >> np.uint64(48)).astype(np.int64)
 
 
-def _columns(b: pa.RecordBatch, hasher: Hasher, column: int):
+def _columns(b: pa.RecordBatch, column: int):
     for lo, hi, buf, offs in blocks(b.column(column)):
-        yield lo, hi, Block(buf, offs, hasher)
+        yield lo, hi, Block(buf, offs)
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED_ROWS) -> np.ndarray:
@@ -92,11 +102,11 @@ def log_ratios(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
     """log(target/raw) of every bucket, counted over all of docs(doc_id, text); zeros without trusted documents."""
 
     def count(batches):
-        hasher, raw, target = Hasher(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
             ids = b.column(0)
             good = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), trusted) & ids.is_valid().to_numpy(zero_copy_only=False)
-            for lo, hi, block in _columns(b, hasher, 1):
+            for lo, hi, block in _columns(b, 1):
                 row, bucket = block.grams()
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 target += np.bincount(bucket[good[lo:hi][row]], minlength=BUCKETS)
@@ -114,31 +124,31 @@ def log_ratios(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
     return np.log(share(target, target.sum())) - np.log(share(raw, raw.sum()))
 
 
+def _judge(block: Block, ratios: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+    """The base counts of a block's texts, whether the base rules fail them, their verdict and their score."""
+    base, n = block.base(), len(block.offs) - 1
+    row, bucket = block.grams()
+    score = np.bincount(row, ratios[bucket], n) / np.maximum(np.bincount(row, minlength=n), 1)
+    words = base["n_words"]
+    failed = (words < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
+    return base | {"base_failed": failed, "kept": ~failed & (score >= threshold), "score": score}
+
+
 def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) per row of docs.
 
     score is the mean log ratio per unigram or bigram (0 for texts without words). A null text counts as empty; it and
-    every text of fewer than MIN_WORDS words fails the base rules. Without trusted labels, the base rules decide alone.
-    Rows that repeat are judged each for itself; other columns are ignored.
+    every text of fewer than MIN_WORDS words fails the base rules. A score equal to the threshold is kept. Without trusted
+    labels, the base rules decide alone. Rows that repeat are judged each for itself; other columns are ignored.
     """
     ratios = log_ratios(docs, trusted_ids(labels, trusted_rows))
     names = [*_BASE, "base_failed", "kept", "score"]
 
     def judge(batches):
-        hasher = Hasher()
         for b in batches:
-            parts: dict[str, list] = {k: [] for k in names}
-            for _, _, block in _columns(b, hasher, 1):
-                base = block.base()
-                row, bucket = block.grams()
-                n = len(block.offs) - 1
-                score = np.bincount(row, ratios[bucket], n) / np.maximum(np.bincount(row, minlength=n), 1)
-                words = base["n_words"]
-                failed = (words < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * words)
-                for k, v in (base | {"base_failed": failed, "kept": ~failed & (score >= threshold), "score": score}).items():
-                    parts[k].append(v)
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.concatenate(parts[k])) for k in names)], ["doc_id", *names])
+            found = [_judge(block, ratios, threshold) for _, _, block in _columns(b, 1)]
+            if found:
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.concatenate([f[k] for f in found])) for k in names)], ["doc_id", *names])
 
     kinds = ", ".join(f"{k} long" for k in _BASE)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, judge, f"doc_id long, {kinds}, base_failed boolean, kept boolean, score double")
@@ -150,17 +160,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     at = docs.columns.index("text")
 
     def sift(batches):
-        hasher = Hasher()
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for lo, hi, block in _columns(b, hasher, at):
-                base = block.base()
-                row, bucket = block.grams()
-                n = hi - lo
-                score = np.bincount(row, ratios[bucket], n) / np.maximum(np.bincount(row, minlength=n), 1)
-                words = base["n_words"]
-                keep[lo:hi] = (words >= MIN_WORDS) & (100 * base["n_repeat_words"] <= MAX_REPEAT_PERCENT * words) & (score >= threshold)
-            if keep.any():
+            kept = [_judge(block, ratios, threshold)["kept"] for _, _, block in _columns(b, at)]
+            if kept and (keep := np.concatenate(kept)).any():
                 yield b.filter(pa.array(keep))
 
     return docs.transform(map_arrow, sift, docs.schema)
@@ -169,5 +171,3 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: the base counts and verdict of every document."""
     return assess(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-

@@ -163,6 +163,23 @@ def test_substring_keeps_columns(spark):
     assert (got[2].n_chars, got[3].n_chars, got[2].component_id) == (1, 5, "clash")
 
 
+def thue_morse(n):
+    """A string over a and b and its complement, which collide under any polynomial hash modulo a power of two."""
+    bits = [i.bit_count() & 1 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    x, y = thue_morse(11)
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join([*w[:20], x, *w[20:49]])), (2, " ".join([*w[:20], y, *w[20:49]])), (3, f"{x}\n{y}\n{x}"), (4, f"{' '.join(w[:7])} {x}\n{' '.join(w[:7])} {y}")]
+    d = docs(spark, rows)
+    assert {r.doc_id: r.n_removed for r in substring.digests(d).collect()} == dict.fromkeys(range(1, 5), 0)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.assess(d, labels).collect()}
+    assert [got[i].n_dup_lines for i in (3, 4)] == [1, 0] and got[4].n_repeat_words == 0
+
+
 def plain_base(text):
     text = text or ""
     w = words_of(text)
@@ -188,6 +205,35 @@ def test_quality_base_counts(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_verdict_against_plain(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"][: 2 + i % 3]) + str(rng.randint(0, 40)) for _ in range(rng.randint(0, 90)))) for i in range(60)]
+    rows += [(70, rows[5][1]), (70, rows[5][1]), (None, rows[6][1]), (71, None)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 0) for i in range(30)] + [(4, 0, 0)], "doc_id long, quality int, toxic int")
+    trusted = {i for i in range(0, 30, 4)} - {4}
+
+    def buckets(text):
+        h = [xxhash.xxh3_128_intdigest(w.encode()) for w in words_of(text)]
+        h = [int.from_bytes((x).to_bytes(16, "big")[:8], "little") for x in h]
+        mixed = lambda x: int(_words.mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
+        return [x >> 48 for x in h] + [mixed(a * 3 + b) >> 48 for a, b in zip(h, h[1:], strict=False)]
+
+    raw, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for i, t in rows:
+        for b in buckets(t):
+            raw[b] += 1
+            good[b] += i in trusted
+    add = quality.SMOOTHING / quality.BUCKETS
+    ratio = np.log((good / good.sum() + add) / (1 + quality.SMOOTHING)) - np.log((raw / raw.sum() + add) / (1 + quality.SMOOTHING))
+    for r in quality.assess(docs(spark, rows), labels).collect():
+        own = buckets(dict(rows)[r.doc_id])
+        score = sum(ratio[b] for b in own) / len(own) if own else 0
+        assert r.score == pytest.approx(score, abs=1e-9)
+        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+    one = quality.assess(docs(spark, rows), labels).filter("doc_id = 8").first()
+    assert quality.assess(docs(spark, rows), labels, threshold=one.score).filter("doc_id = 8").first().kept == (not one.base_failed)
+
+
 def test_quality_tells_noise_from_prose(spark):
     rng = random.Random(4)
     prose = ["the cat sat on a mat and saw the dog".split()[rng.randint(0, 4) :] for _ in range(80)]
