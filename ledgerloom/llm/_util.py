@@ -19,10 +19,12 @@ SALTS = 16
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir.
 
-    Only where that setting is missing (tests in local mode) a local temporary folder takes its place.
+    Only where that setting is missing in local mode (tests) a local temporary folder takes its place; on a cluster it has to be set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

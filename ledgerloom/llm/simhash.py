@@ -18,15 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._components import connected_components
+from ledgerloom.llm._components import connected_components, spanning
 from ledgerloom.llm._util import join_small, map_arrow, materialize, shuffle_partitions
 
 RADIUS = 2
 SHINGLE = 3
 #: Distinct fingerprints under one key above which the key is split again.
 HOT = 1024
-#: Lanes of a block of comparisons.
-LANES = 512
+
+_FULL = ~np.uint64(0)
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
@@ -58,98 +58,151 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(map_arrow, run, "doc_id long, fp long")
 
 
-def close_lanes(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Which of the pairs fp[left], fp[right] differ in `radius` (0 to 3) bits at most."""
-    if not len(left):
-        return np.zeros(0, bool)
-    blocks = -(-len(left) // LANES)
-    at = np.zeros((2, blocks * LANES), np.int64)
-    at[0, : len(left)], at[1, : len(left)] = left, right
-    at = at.reshape(2, blocks, LANES)
-    active = np.arange(blocks)
-    over = np.zeros((blocks, LANES // 64), np.uint64)
-    ones, twos = np.zeros_like(over), np.zeros_like(over)
-    planes = fp.view(np.uint8).reshape(-1, 8)
-    full = ~np.uint64(0)
-    out = np.full((blocks, LANES // 64), full)
-    for byte in range(8):
-        x = planes[at[0, active], byte] ^ planes[at[1, active], byte]
-        for bit in range(8):
-            plane = np.packbits((x >> np.uint8(bit)) & np.uint8(1), axis=1, bitorder="little").view(np.uint64)
-            carry = ones & plane
-            ones ^= plane
-            over |= twos & carry
-            twos ^= carry
-        if radius < 3:
-            over |= (twos & ones) if radius == 2 else (twos if radius == 1 else twos | ones)
-        alive = (over != full).any(1)
-        out[active] = over
-        if not alive.all():
-            active, over, ones, twos = active[alive], over[alive], ones[alive], twos[alive]
-            if not len(active):
-                break
-    return ~np.unpackbits(out.view(np.uint8), axis=1, bitorder="little").astype(bool).reshape(-1)[: len(left)]
-
-
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def links_in_groups(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Index pairs that span the links within each run of equal `group` values."""
+def plane_store(fp: np.ndarray) -> np.ndarray:
+    """Fingerprints (n, 64-bit words) as vertical bit planes: row b has bit b of all fingerprints, 64 to a word, and room to shift."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+    packed = np.packbits(bits.T, axis=1, bitorder="little")
+    width = -(-packed.shape[1] // 8)
+    store = np.zeros((len(packed), 8 * (width + 2)), np.uint8)
+    store[:, : packed.shape[1]] = packed
+    return store.view(np.uint64)
+
+
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and carry of three planes."""
+    either = a ^ b
+    return either ^ c, (a & b) | (either & c)
+
+
+def close_words(differing, count: int, valid: np.ndarray, radius: int) -> np.ndarray:
+    """Of the lanes in `valid` (words of 64), those with `radius` differing bits at most.
+
+    differing(k, at) gives planes k to k + 7 of the differing bits for the words `at`. Counters that overflow beyond the
+    radius are kept as planes as well; words all of whose lanes have overflowed are abandoned.
+    """
+    at = np.flatnonzero(valid)
+    out = np.zeros(len(valid), np.uint64)
+    width = max(4, (radius + 1).bit_length())
+    begin = (1 << width) - 1 - radius
+    over = ~valid[at]
+    digit = [np.full(len(at), _FULL if begin >> i & 1 else 0, np.uint64) for i in range(width)]
+    for k in range(0, count, 8):
+        x = differing(k, at)
+        ones, a = _add(digit[0], x[0], x[1])
+        ones, b = _add(ones, x[2], x[3])
+        twos, c = _add(digit[1], a, b)
+        ones, a = _add(ones, x[4], x[5])
+        digit[0], b = _add(ones, x[6], x[7])
+        digit[1], d = _add(twos, a, b)
+        digit[2], carry = _add(digit[2], c, d)
+        for i in range(3, width):
+            digit[i], carry = digit[i] ^ carry, digit[i] & carry
+        over |= carry
+        if k % 16:
+            alive = over != _FULL
+            if not alive.all():
+                at, over, digit = at[alive], over[alive], [y[alive] for y in digit]
+                if not len(at):
+                    return out
+    out[at] = ~over
+    return out
+
+
+def close_pairs(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i < j) of fingerprints (n, words) within `radius` bits, inside each run of equal `group` values.
+
+    The planes are stored once; all pairs at one distance in the order are compared by shifting them.
+    """
     n = len(fp)
     edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-    size = np.diff(edge)
-    end = np.repeat(edge[1:], size)
-    parent = np.arange(n)
+    end = np.repeat(edge[1:], np.diff(edge))
+    planes = plane_store(fp)
+    width = planes.shape[1] - 2
     lanes = np.flatnonzero(end - np.arange(n) > 1)
-    found, shift = [], 1
+    left, right, shift = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
     while len(lanes):
-        hit = lanes[close_lanes(fp, lanes, lanes + shift, radius)]
-        for i in hit.tolist():
-            a, b = _find(parent, i), _find(parent, i + shift)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                found.append((i, i + shift))
+        mask = np.zeros(64 * width, bool)
+        mask[lanes] = True
+        far, by = divmod(shift, 64)
+
+        def differing(k, at, far=far, by=np.uint64(by), back=np.uint64(64 - by)):
+            own, other = planes[k : k + 8, at], planes[k : k + 8, np.minimum(at + far, width)]
+            if by:
+                other = (other >> by) | (planes[k : k + 8, np.minimum(at + far + 1, width)] << back)
+            return own ^ other
+
+        hit = close_words(differing, len(planes), np.packbits(mask, bitorder="little").view(np.uint64), radius)
+        i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
+        left.append(i)
+        right.append(i + shift)
         shift += 1
         lanes = lanes[end[lanes] - lanes > shift]
-    return found
+    return np.concatenate(left), np.concatenate(right)
+
+
+def close_to(queries: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, index) pairs of fingerprints within `radius` bits, all queries against all of fp."""
+    planes = plane_store(fp)
+    width = planes.shape[1] - 2
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    valid = np.packbits(np.arange(64 * width) < len(fp), bitorder="little").view(np.uint64)
+    step = max(1, (1 << 16) // max(width, 1))
+    for lo in range(0, len(queries), step):
+        part = queries[lo : lo + step]
+        own = np.where(np.unpackbits(np.ascontiguousarray(part).view(np.uint8), axis=1, bitorder="little").T > 0, _FULL, np.uint64(0))
+        hit = close_words(lambda k, at, own=own: planes[k : k + 8, at % width] ^ own[k : k + 8, at // width], len(planes), np.tile(valid, len(part)), radius)
+        i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
+        found[0].append(lo + i // (64 * width))
+        found[1].append(i % (64 * width))
+    return np.concatenate(found[0]), np.concatenate(found[1])
+
+
+def streamed(batches, keys: int, settle, most: int = 0):
+    """Batches sorted by their first `keys` columns, dealt to settle(columns) in whole groups; a group of more than `most` rows (0: any number) in pieces."""
+    held: list | None = None
+    for b in batches:
+        cols = [b.column(i) for i in range(b.num_columns)]
+        cols = [c if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in cols]
+        held = cols if held is None else [_joined(x, y) for x, y in zip(held, cols, strict=True)]
+        n = len(held[0])
+        if not n:
+            continue
+        other = np.flatnonzero(np.any([k != k[-1] for k in held[:keys]], axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if most and n - cut > most:
+            cut = n
+        if cut:
+            yield from settle([x[:cut] for x in held])
+            held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield from settle(held)
+
+
+def _joined(x, y):
+    return pa.concat_arrays([x, y]) if isinstance(x, pa.Array) else np.concatenate([x, y])
+
+
+def _runs(cols: list[np.ndarray]) -> np.ndarray:
+    """A number for each run of equal rows."""
+    return np.cumsum(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)]) - 1
+
+
+def _pairs(u, v) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 def _compare(radius: int):
-    def run(batches):
-        """Sorted rows (key, sub, fp, rep): the last group of a batch waits for the next one."""
-        held = None
-        for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            held = cols if held is None else [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            if not len(held[0]):
-                continue
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield from group([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield from group(held)
-
-    def group(cols):
+    def settle(cols):
         key, sub, fp, rep = cols
-        new = np.r_[True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])]
-        gid = np.cumsum(new)
-        keep = np.bincount(gid)[gid] > 1
-        if not keep.any():
-            return
-        rep = rep[keep]
-        pairs = links_in_groups(gid[keep], np.ascontiguousarray(fp[keep]).view(np.uint64), radius)
-        if pairs:
-            at = np.array(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[at[:, 0]], pa.int64()), pa.array(rep[at[:, 1]], pa.int64())], ["u", "v"])
-
-    return run
+        group = _runs([key, sub])
+        keep = np.bincount(group)[group] > 1
+        if keep.any():
+            rep = rep[keep]
+            i, j = close_pairs(group[keep], np.ascontiguousarray(fp[keep]).view(np.uint64).reshape(-1, 1), radius)
+            if len(i):
+                yield _pairs(*spanning(rep[i], rep[j]))
+
+    return lambda batches: streamed(batches, 2, settle)
 
 
 def _part(fp, i: int, width: int):
