@@ -18,7 +18,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest doc_id stays."""
+    """Of each group of near copies (SimHash candidates over five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest doc_id stays."""
     return nearcopy.keep_first(docs)
 
 
