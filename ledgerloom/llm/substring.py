@@ -1,19 +1,21 @@
 """Substring dedup on a compacted de Bruijn graph of token k-mers.
 
-Nodes are k-mers of K words. Of the k-mers in a WINDOW of words, the one with the least hash (the leftmost of equal
-ones) stands for the window, so equal windows share their k-mer wherever they lie. The run of a document's windows
-with the same k-mer is a path through the graph: a block of up to 2 * WINDOW - K words, known by two independent
-64-bit hashes and its source coordinates.
-
-1. Blocks that repeat compact at once: of equal blocks only those in the smallest document keep their windows, in the
-   task that read them first, then for all by a shuffle on the k-mer. A k-mer in a single kind of block doesn't branch
-   and is done with.
-2. Where a k-mer branches (its occurrences continue differently), each kind of block is sent back to its source
-   coordinates once and expanded to windows, and equal windows meet by a second shuffle.
-3. Spans of repeated windows meet their documents by a join on doc_id; words they cover go.
-
-Tasks pass on one row for each kind of block or window that they have seen, so a passage that a third of all
-documents share makes no large group, and groups are streamed in sorted order, never gathered.
+A window of WINDOW words is a walk over k-mers of K words. Of its k-mers the one with the least hash (the leftmost of
+equal ones) is its anchor, so equal windows have equal anchors wherever they lie. The run of a document's windows with one
+anchor is an edge of the graph: up to 2 * WINDOW - K words from the k-mer on, known by two 64-bit hashes of its words
+and by its source coordinates, the document with the smallest doc_id that has it and the place in it. The edges before and
+after it in a document are its neighbours.
+
+1. Edges with their coordinates and neighbours meet by k-mer; aggregates give each edge its source and its in and out
+   degree, that is, whether all occurrences come from one edge and go on to one. A task passes on one row for each kind
+   of edge that it has seen, so a passage that a third of all documents share makes no large group.
+2. A repeated edge that is the only way on from another, and that can only be reached from it, continues the other's path:
+   a join of the repeated edges with themselves at their source coordinates compacts such nonbranching paths, and a join
+   with the occurrences gives each document one span for each path that it walks.
+3. Where a k-mer branches (its occurrences differ somewhere in the edge), each kind of edge is sent back to its source
+   coordinates once and split into single windows, which meet by their own hashes.
+4. Verification: the words at the source coordinates of every span are digested by SHA-256, the digests meet the
+   spans by a join, and a document loses words only where its own words have the digest of the source's.
 """
 
 from __future__ import annotations
@@ -23,29 +25,29 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._util import map_arrow, materialize, shuffle_partitions
-from ledgerloom.llm._words import SPACE, Hasher, blocks, covered, mix, row_of, spans
+from ledgerloom.llm._util import join_small, map_arrow, materialize, shuffle_partitions
+from ledgerloom.llm._words import SPACE, Hasher, blocks, covered, mix, row_of, slices_of, spans, word_hashes
 
 WINDOW = 50
 K = 20
 #: Rows that a task holds before it compacts them.
 HELD = 1 << 18
-#: Kinds of blocks that a task passes on for one k-mer before it settles itself that the k-mer branches.
+#: Kinds of edges that a task passes on for one k-mer before it settles itself that the k-mer branches.
 KINDS = 8
-#: Rows of one k-mer beyond which its group is streamed in pieces.
-PIECE = 1 << 16
 
-_ANCHOR = "key long, b1 long, b2 long, doc long, at long"
-_SPAN = "doc long, tag int, lo int, n int, expand boolean"
-_WINDOW = "w1 long, w2 long, doc long, at long"
-_TAG_BITS, _N_BITS = 24, 8
+_TAG_BITS = 24
+#: Neighbours of an edge: none at the end of a document, more than one kind.
+_NONE, _SEVERAL = 0, -1
+#: Edges, and what a task has settled itself: spans with their source (kind 1) and edges to split (kind 2).
+_EDGE = "kind int, key long, b1 long, b2 long, doc long, tag int, lo long, n long, before long, after long, src long, src_tag int, src_lo long"
+_SPAN = ["doc", "tag", "lo", "n", "src", "src_tag", "src_lo"]
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def _signed(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.int64)
 
 
 def _leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -64,11 +66,12 @@ class Grams:
     """Two independent families of hashes of the words in a block of documents."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, hashers: tuple[Hasher, Hasher]):
-        self.starts, self.ends, self.first = spans(~SPACE[buf], offs)
+        inside = ~SPACE[buf]
+        self.starts, self.ends, self.first = spans(inside, offs)
+        code, distinct = slices_of(buf, inside, self.starts, self.ends)
+        both = word_hashes(distinct)
         self.hashers = hashers
-        self.sums = []
-        for h in hashers:
-            self.sums.append(h.gram_sums(h.slices(h.sums(buf), self.starts, self.ends)))
+        self.sums = [h.gram_sums(both[:, i][code]) for i, h in enumerate(hashers)]
 
     def hash(self, family: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return self.hashers[family].grams(self.sums[family], lo, hi)
@@ -78,46 +81,57 @@ class Grams:
         return (self.hash(0, self.first[:-1], self.first[1:]) >> np.uint64(64 - _TAG_BITS)).astype(np.int64)
 
 
-def _least(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows by columns, the last of which is doc, and which rows of that order have the least doc for the others."""
-    order = np.lexsort(cols[::-1])
-    cols = [c[order] for c in cols]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in cols[:-1]], axis=0)
-    return order, cols[-1] == cols[-1][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+def _table(kind: int, **cols) -> pa.RecordBatch:
+    """Columns of _EDGE; those not given are null."""
+    n = len(cols["doc"])
+    cols["kind"] = np.full(n, kind)
+    kinds = {x.split()[0]: pa.int32() if x.endswith(" int") else pa.int64() for x in _EDGE.split(", ")}
+    return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in kinds.items()], list(kinds))
 
 
-def _blocks_of(window: int, k: int):
-    """Documents to blocks: one row for each kind of block in the task, and packed spans for the others."""
+def _starts(*cols: np.ndarray) -> np.ndarray:
+    """Which of the sorted rows differ from the one before."""
+    return np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)]
+
+
+def _one_or_several(values: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    low, high = np.minimum.reduceat(values, edge), np.maximum.reduceat(values, edge)
+    return np.where(low == high, low, _SEVERAL)
+
+
+def _edges_of(window: int, k: int):
+    """Documents to edges: one row for each kind of edge in the task, and what the task knows about the others."""
     width = window - k + 1
 
     def compact(parts: list[list[np.ndarray]]):
-        key, b1, b2, doc, lo, n, tag = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, first = _least(b1, b2, doc)
-        keep, gone = order[first], np.sort(order[~first])
-        # k-mers with many kinds in this task branch: two of the kinds tell the others' task so, the rest go straight to be expanded
-        near = np.lexsort((doc[keep], key[keep]))
-        k = key[keep][near]
-        edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        last = np.r_[edge[1:], len(k)] - 1
-        d = doc[keep][near]
-        crowded = (last - edge >= KINDS) & (d[edge] < d[last])
-        straight = np.repeat(crowded, last - edge + 1)
-        straight[edge] = straight[last] = False
-        wide, keep = keep[near[straight]], keep[near[~straight]]
-        yield pa.RecordBatch.from_arrays([_signed(key[keep]), _signed(b1[keep]), _signed(b2[keep]), pa.array(doc[keep]), pa.array((lo[keep] << (_TAG_BITS + _N_BITS)) | (n[keep] << _TAG_BITS) | tag[keep])], ["key", "b1", "b2", "doc", "at"])
-        if len(wide):
-            yield passed(doc[wide], lo[wide], n[wide], tag[wide] | (1 << _TAG_BITS))
-        if len(gone):
-            d, s, m, t = doc[gone], lo[gone], n[gone], tag[gone]
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + m[:-1])
-            at = np.flatnonzero(new)
-            yield passed(d[at], s[at], np.add.reduceat(m, at), t[at])
-
-    def passed(doc, lo, n, tag):
-        """Spans that are settled and only pass through the shuffle."""
-        return pa.RecordBatch.from_arrays([_signed(mix(doc.astype(np.uint64) + lo.astype(np.uint64))), pa.array(lo), pa.array(n), pa.array(doc), pa.array(-1 - tag)], ["key", "b1", "b2", "doc", "at"])
+        key, b1, b2, doc, lo, n, tag, before, after = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((lo, tag, doc, b2, b1))
+        key, b1, b2, doc, lo, n, tag, before, after = (x[order] for x in (key, b1, b2, doc, lo, n, tag, before, after))
+        new = _starts(b1, b2)
+        edge = np.flatnonzero(new)
+        at = edge[np.cumsum(new) - 1]
+        gone = doc > doc[at]
+        group = np.cumsum(new) - 1
+        before, after = _one_or_several(before, edge)[group], _one_or_several(after, edge)[group]
+        kept = np.flatnonzero(~gone)
+        # k-mers with many kinds in this task branch: two of the kinds tell the others' tasks so, the rest go straight to be split
+        near = np.lexsort((doc[kept], key[kept]))
+        own = key[kept][near]
+        begin = np.flatnonzero(_starts(own))
+        last = np.r_[begin[1:], len(own)] - 1
+        d = doc[kept][near]
+        crowded = (last - begin >= KINDS) & (d[begin] < d[last])
+        straight = np.repeat(crowded, last - begin + 1)
+        straight[begin] = straight[last] = False
+        wide = np.zeros(len(kept), bool)
+        wide[near[straight]] = True
+        keep, split = kept[~wide], kept[wide]
+        yield _table(0, key=_signed(key[keep]), b1=_signed(b1[keep]), b2=_signed(b2[keep]), doc=doc[keep], tag=tag[keep], lo=lo[keep], n=n[keep], before=before[keep], after=after[keep])
+        if len(split):
+            yield _table(2, doc=doc[split], tag=tag[split], lo=lo[split], n=n[split])
+        if gone.any():
+            at = at[gone]
+            yield _spans(_merged(doc[gone], tag[gone], lo[gone], n[gone], doc[at], tag[at], lo[at]))
 
     def run(batches):
         hashers, parts, held = (Hasher(0), Hasher(1)), [], 0
@@ -139,7 +153,12 @@ def _blocks_of(window: int, k: int):
                 n = np.diff(np.r_[at, len(i)])
                 lo = i[at]
                 shape = mix(n.astype(np.uint64) * np.uint64(64) + (anchor[at] - lo).astype(np.uint64))
-                parts.append([kmers[anchor[at]], g.hash(0, lo, lo + n + window - 1) + shape, g.hash(1, lo, lo + n + window - 1) + shape, ids[r + row[lo]], lo - g.first[row[lo]], n, g.tags()[row[lo]]])
+                b1 = g.hash(0, lo, lo + n + window - 1) + shape
+                name = np.where((b1 == 0) | (b1 == ~np.uint64(0)), np.uint64(1), b1).view(np.int64)
+                same = row[lo[1:]] == row[lo[:-1]]
+                before, after = np.full(len(at), _NONE), np.full(len(at), _NONE)
+                before[1:][same], after[:-1][same] = name[:-1][same], name[1:][same]
+                parts.append([kmers[anchor[at]], b1, g.hash(1, lo, lo + n + window - 1) + shape, ids[r + row[lo]], lo - g.first[row[lo]], n, g.tags()[row[lo]], before, after])
                 held += len(at)
                 if held >= HELD:
                     yield from compact(parts)
@@ -150,64 +169,35 @@ def _blocks_of(window: int, k: int):
     return run
 
 
-def _spans(doc, tag, lo, n, expand) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(expand, pa.bool_())], ["doc", "tag", "lo", "n", "expand"])
-
-
-def _meet_blocks(batches):
-    """Rows sorted by (key, b1, b2, doc): spans that a smaller document has, and blocks of branching k-mers to expand."""
-
-    def settle(cols, forced):
-        key, b1, b2, doc, at = cols
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])
-        least = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
-        kinds = np.bincount(group, new)
-        edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        several = np.maximum.reduceat(doc, edge) > np.minimum.reduceat(doc, edge)
-        branching = ((kinds > 1) & several)[group] | (key == forced if forced is not None else False)
-        gone = doc > least
-        out = gone | branching
-        if out.any():
-            a = at[out]
-            yield _spans(doc[out], a & ((1 << _TAG_BITS) - 1), a >> (_TAG_BITS + _N_BITS), (a >> _TAG_BITS) & ((1 << _N_BITS) - 1), ~gone[out])
-
-    held, forced = None, None
-    for b in batches:
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        done = cols[4] < 0
-        if done.any():
-            tag = -1 - cols[4][done]
-            yield _spans(cols[3][done], tag & ((1 << _TAG_BITS) - 1), cols[1][done], cols[2][done], tag >> _TAG_BITS > 0)
-            cols = [c[~done] for c in cols]
-        held = cols if held is None else [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-        if not len(held[0]):
-            continue
-        other = np.flatnonzero(held[0] != held[0][-1])
-        cut = other[-1] + 1 if len(other) else 0
-        if cut:
-            yield from settle([x[:cut] for x in held], forced)
-            held, forced = [x[cut:] for x in held], forced if forced == held[0][-1] else None
-        if len(held[0]) > PIECE:
-            other = np.flatnonzero((held[1] != held[1][-1]) | (held[2] != held[2][-1]))
-            if len(other):
-                forced = held[0][-1]
-                yield from settle([x[: other[-1] + 1] for x in held], forced)
-                held = [x[other[-1] + 1 :] for x in held]
-    if held is not None and len(held[0]):
-        yield from settle(held, forced)
-
-
-def _expand(window: int):
-    """Documents with the blocks to expand: one row for each window in the task, and rows with w1 = w2 = 0 for those known to repeat."""
+def _merged(doc, tag, lo, n, src, src_tag, src_lo) -> list[np.ndarray]:
+    """Spans in order, those that go on in both documents as one."""
+    order = np.lexsort((lo, tag, doc))
+    doc, tag, lo, n, src, src_tag, src_lo = (x[order] for x in (doc, tag, lo, n, src, src_tag, src_lo))
+    new = _starts(doc, tag, src, src_tag, src_lo - lo)
+    new[1:] |= lo[1:] > lo[:-1] + n[:-1]
+    at = np.flatnonzero(new)
+    return [doc[at], tag[at], lo[at], np.maximum.reduceat(lo + n, at) - lo[at], src[at], src_tag[at], src_lo[at]] if len(at) else [doc, tag, lo, n, src, src_tag, src_lo]
+
+
+def _spans(cols: list[np.ndarray]) -> pa.RecordBatch:
+    return _table(1, **dict(zip(_SPAN, cols, strict=True)))
+
+
+def _windows_of(window: int):
+    """Documents with the edges to split: one row for each window in the task (kind 0), and spans of those known to repeat."""
 
     def compact(parts):
-        w1, w2, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, first = _least(w1, w2, doc)
-        w1[order[~first]] = 0
-        w2[order[~first]] = 0
-        yield pa.RecordBatch.from_arrays([_signed(w1), _signed(w2), pa.array(doc), pa.array(at)], ["w1", "w2", "doc", "at"])
+        w1, w2, doc, tag, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((lo, tag, doc, w2, w1))
+        w1, w2, doc, tag, lo = (x[order] for x in (w1, w2, doc, tag, lo))
+        new = _starts(w1, w2)
+        edge = np.flatnonzero(new)
+        at = edge[np.cumsum(new) - 1]
+        gone = doc > doc[at]
+        yield _table(0, b1=_signed(w1[~gone]), b2=_signed(w2[~gone]), doc=doc[~gone], tag=tag[~gone], lo=lo[~gone])
+        if gone.any():
+            at = at[gone]
+            yield _spans(_merged(doc[gone], tag[gone], lo[gone], np.ones(len(at), np.int64), doc[at], tag[at], lo[at]))
 
     def run(batches):
         hashers, parts, held = (Hasher(0), Hasher(1)), [], 0
@@ -228,7 +218,7 @@ def _expand(window: int):
                 step = np.arange(own_n.sum()) - np.repeat(np.cumsum(own_n) - own_n, own_n)
                 row, place, own_tag = np.repeat(row, own_n), np.repeat(own_lo, own_n) + step, np.repeat(own_tag, own_n)
                 i = g.first[row] + place
-                parts.append([g.hash(0, i, i + window), g.hash(1, i, i + window), ids[r + row], (place << _TAG_BITS) | own_tag])
+                parts.append([g.hash(0, i, i + window), g.hash(1, i, i + window), ids[r + row], own_tag, place])
                 held += len(i)
                 if held >= HELD:
                     yield from compact(parts)
@@ -239,41 +229,96 @@ def _expand(window: int):
     return run
 
 
-def _meet_windows(batches):
-    """Rows sorted by (w1, w2, doc): windows that a smaller document has."""
-    last = None
-    for b in batches:
-        w1, w2, doc, at = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if not len(w1):
-            continue
-        new = np.ones(len(w1), bool)
-        new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-        least = doc[np.maximum.accumulate(np.where(new, np.arange(len(w1)), 0))]
-        if last is not None and (w1[0], w2[0]) == last[:2]:
-            least[: int(np.argmax(new[1:]) + 1) if new[1:].any() else len(new)] = last[2]
-        last = (w1[-1], w2[-1], least[-1])
-        gone = (doc > least) | ((w1 == 0) & (w2 == 0))
-        if gone.any():
-            a = at[gone]
-            yield _spans(doc[gone], a & ((1 << _TAG_BITS) - 1), a >> _TAG_BITS, np.ones(len(a), np.int64), np.zeros(len(a), bool))
+def _met_edges(edges: DataFrame) -> DataFrame:
+    """Edges with their source, their degrees over all documents, and whether their k-mer branches; only what repeats or branches."""
+    kind, key = Window.partitionBy("key", "b1", "b2"), Window.partitionBy("key")
+    rows = edges.filter("kind = 0").select("key", "b1", "b2", "doc", "tag", "lo", "n", "before", "after").repartition(shuffle_partitions(edges.sparkSession), "key")
+    rows = rows.withColumn("source", F.min(F.struct("doc", "tag", "lo")).over(kind)).withColumn("repeats", F.max("doc").over(kind) > F.col("source.doc"))
+    for c in ("before", "after"):
+        rows = rows.withColumn(c, F.when(F.min(c).over(kind) == F.max(c).over(kind), F.col(c)).otherwise(_SEVERAL))
+    several = (F.min("b1").over(key) < F.max("b1").over(key)) | (F.min("b2").over(key) < F.max("b2").over(key))
+    rows = rows.withColumn("branches", several & (F.min("doc").over(key) < F.max("doc").over(key)))
+    rows = rows.filter("repeats or branches").select("b1", "doc", "tag", "lo", "n", "before", "after", "repeats", "branches", F.col("source.doc").alias("src"), F.col("source.tag").alias("src_tag"), F.col("source.lo").alias("src_lo"))
+    return materialize(rows, "met")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(doc, found): for each doc_id, the runs (lo, n, tag) of windows whose words also start in a document with a smaller doc_id.
+def _paths(met: DataFrame) -> DataFrame:
+    """(src, src_tag, src_lo, path): every repeated edge, by its source coordinates, with the first edge of its nonbranching path."""
+    own = met.filter("repeats and doc = src and tag = src_tag and lo = src_lo").select("src", "src_tag", "src_lo", "n", "b1", "before", "after").distinct()
+    ahead = own.filter(F.col("after") != _SEVERAL).select("src", "src_tag", (F.col("src_lo") + F.col("n")).alias("src_lo"), F.col("b1").alias("_from"), F.col("after").alias("_to"))
+    both = own.join(ahead, ["src", "src_tag", "src_lo"], "left")
+    both = both.withColumn("goes_on", F.coalesce((F.col("before") == F.col("_from")) & (F.col("_to") == F.col("b1")), F.lit(False)))
+    order = Window.partitionBy("src", "src_tag").orderBy("src_lo")
+    return both.select("src", "src_tag", "src_lo", F.max(F.when(~F.col("goes_on"), F.col("src_lo"))).over(order).alias("path"))
 
-    lo counts windows from 0, n is their number; tag tells texts with the same doc_id apart. A window may be found twice.
+
+def _joined(single: DataFrame) -> DataFrame:
+    """Spans of one window each, those that go on in both documents as one."""
+    same = Window.partitionBy("doc", "tag", "src", "src_tag", F.col("src_lo") - F.col("lo")).orderBy("lo")
+    rows = single.withColumn("_run", F.col("lo") - F.dense_rank().over(same))
+    return rows.groupBy("doc", "tag", "src", "src_tag", (F.col("src_lo") - F.col("lo")).alias("_far"), "_run").agg(F.min("lo").alias("lo"), F.countDistinct("lo").alias("n")).withColumn("src_lo", F.col("lo") + F.col("_far")).select(*_SPAN)
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+    """(doc, tag, lo, n, src, src_tag, src_lo): runs of n windows from word lo of a document that hash like those from word
+    src_lo of a document with a smaller doc_id; tags tell texts with the same doc_id apart. A window may be found twice.
     """
-    if not 0 < k <= window < min(k + 64, 1 << _N_BITS):
-        raise ValueError("k must be 1 to window, window - k under 64, window under 256")
+    if not 0 < k <= window < k + 64:
+        raise ValueError("k must be 1 to window, window - k under 64")
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    dealt = rows.transform(map_arrow, _blocks_of(window, k), _ANCHOR).repartition(n, "key").sortWithinPartitions("key", "b1", "b2", "doc")
-    found = materialize(dealt.transform(map_arrow, _meet_blocks, _SPAN), "blocks")
-    listed = lambda df: df.groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "tag")).alias("found"))
-    asked = rows.join(listed(found.filter("expand")), "doc")
-    met = asked.transform(map_arrow, _expand(window), _WINDOW).repartition(n, "w1", F.when(F.col("w1") == 0, F.col("doc"))).sortWithinPartitions("w1", "w2", "doc")
-    windows = met.transform(map_arrow, _meet_windows, _SPAN)
-    return materialize(listed(found.filter("not expand").unionByName(windows)), "spans")
+    edges = materialize(rows.transform(map_arrow, _edges_of(window, k), _EDGE), "edges")
+    met = _met_edges(edges)
+    gone = met.filter("doc > src").join(materialize(_paths(met), "paths"), ["src", "src_tag", "src_lo"])
+    gone = gone.withColumn("_far", F.col("src_lo") - F.col("lo"))
+    walk = ["doc", "tag", "src", "src_tag", "path", "_far"]
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*walk).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    walked = gone.withColumn("_run", F.col("lo") - before).groupBy(*walk, "_run").agg(F.min("lo").alias("lo"), F.sum("n").alias("n")).withColumn("src_lo", F.col("lo") + F.col("_far")).select(*_SPAN)
+    asked = met.filter("branches and doc = src").select("doc", "lo", "n", "tag").unionByName(edges.filter("kind = 2").select("doc", "lo", "n", "tag")).distinct()
+    listed = materialize(asked.groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "tag")).alias("found")), "asked")
+    split = materialize(join_small(rows, listed, ["doc"], "inner").select("doc", "text", "found").transform(map_arrow, _windows_of(window), _EDGE), "windows")
+    same = Window.partitionBy("b1", "b2")
+    single = split.filter("kind = 0").select("b1", "b2", "doc", "tag", "lo").repartition(n, "b1", "b2").withColumn("source", F.min(F.struct("doc", "tag", "lo")).over(same)).filter("doc > source.doc")
+    single = _joined(single.select("doc", "tag", "lo", F.col("source.doc").alias("src"), F.col("source.tag").alias("src_tag"), F.col("source.lo").alias("src_lo")))
+    settled = edges.filter("kind = 1").select(*_SPAN).unionByName(split.filter("kind = 1").select(*_SPAN))
+    return materialize(walked.unionByName(single).unionByName(settled), "spans")
+
+
+def _digest(words: list[bytes], lo: int, n: int, window: int) -> bytes | None:
+    """SHA-256 of the words of n windows from word lo on; None if the text ends before."""
+    return hashlib.sha256(b" ".join(words[lo : lo + n + window - 1])).digest() if lo + n + window - 1 <= len(words) else None
+
+
+def _tag(text: str, hashers: tuple[Hasher, Hasher]) -> int:
+    buf = np.frombuffer(text.encode(), np.uint8)
+    return int(Grams(buf, np.array([0, len(buf)]), hashers).tags()[0])
+
+
+def _sources(window: int):
+    """(src, text, found) to the digests of the spans asked for."""
+
+    def run(batches):
+        hashers = (Hasher(0), Hasher(1))
+        for b in batches:
+            out: list[tuple] = []
+            for src, text, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                words = (text or "").encode().split()
+                tag = _tag(text, hashers) if words else 0
+                out += [(src, f["src_tag"], f["src_lo"], f["n"], _digest(words, f["src_lo"], f["n"], window)) for f in found if f["src_tag"] == tag]
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["src", "src_tag", "src_lo", "n", "digest"])
+
+    return run
+
+
+def verified_spans(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc, found): per doc_id its spans (lo, n, tag) with the digests of the words at their source coordinates."""
+    where = ["src", "src_tag", "src_lo", "n"]
+    asked = found.select(*where).distinct().groupBy("src").agg(F.collect_list(F.struct("src_tag", "src_lo", "n")).alias("found"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("src"), F.col("text").cast("string").alias("text"))
+    digests = join_small(rows, materialize(asked, "sources"), ["src"], "inner").select("src", "text", "found").transform(map_arrow, _sources(window), "src long, src_tag int, src_lo long, n long, digest binary")
+    known = found.join(materialize(digests.filter("digest is not null").distinct(), "digests"), where)
+    return materialize(known.groupBy("doc").agg(F.collect_set(F.struct("lo", "n", "tag", "digest")).alias("found")), "listed")
 
 
 def _removed(window: int, cut: bool):
@@ -283,17 +328,14 @@ def _removed(window: int, cut: bool):
         words = (text or "").encode().split()
         if found is None or not words:
             return words, 0
-        tag = int(Grams(*_one(text), hashers).tags()[0])
-        at = np.array([(f["lo"], f["n"] + window - 1) for f in found if f["tag"] == tag], np.int64).reshape(-1, 2)
-        if not len(at):
+        tag = _tag(text, hashers)
+        same = [(f["lo"], f["n"] + window - 1) for f in found if f["tag"] == tag and _digest(words, f["lo"], f["n"], window) == f["digest"]]
+        if not same:
             return words, 0
+        at = np.array(same, np.int64)
         gone = covered(len(words), at[:, 0], at[:, 1])
         return list(compress(words, (~gone).tolist())), int(gone.sum())
 
-    def _one(text: str):
-        buf = np.frombuffer(text.encode(), np.uint8)
-        return buf, np.array([0, len(buf)])
-
     hashers = (Hasher(0), Hasher(1))
 
     def digest(batches):
@@ -317,13 +359,17 @@ def _removed(window: int, cut: bool):
     return texts if cut else digest
 
 
+def _found(docs: DataFrame, window: int, k: int) -> DataFrame:
+    return verified_spans(docs, repeated_spans(docs, window, k), window)
+
+
 def digests(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row of docs(doc_id, text); other columns are ignored.
 
     A null text has no words; texts of fewer than `window` words lose none. A null doc_id is neither smaller nor larger
     than others: such rows keep all words and remove none. Rows with one doc_id never remove words of each other.
     """
-    found = repeated_spans(docs, window, k)
+    found = _found(docs, window, k)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = rows.join(found, rows["doc_id"] == found["doc"], "left").select("doc_id", "text", "found")
     return joined.transform(map_arrow, _removed(window, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -334,7 +380,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
 
     Texts that lose words have the rest joined by single spaces, others stay as they are; n_chars, if there, is counted anew.
     """
-    found = repeated_spans(docs, window, k).select(F.col("doc").alias("_doc"), F.col("found").alias("_found"))
+    found = _found(docs, window, k).select(F.col("doc").alias("_doc"), F.col("found").alias("_found"))
     joined = docs.join(found, docs["doc_id"].cast("long") == found["_doc"], "left").drop("_doc")
     out = joined.transform(map_arrow, _removed(window, True), docs.schema)
     if "n_chars" in docs.columns:

@@ -142,7 +142,6 @@ def test_substring_against_plain(spark, seed, window, k):
 def test_substring_pieces_of_a_large_group(spark, monkeypatch, held, kinds):
     monkeypatch.setattr(substring, "HELD", held)
     monkeypatch.setattr(substring, "KINDS", kinds)
-    monkeypatch.setattr(substring, "PIECE", 5)
     rng = random.Random(5)
     passage = [f"p{i}" for i in range(60)]
     rows = [(i, " ".join([f"a{rng.randint(0, 3)}" for _ in range(rng.randint(0, 40))] + passage + [f"b{rng.randint(0, 3)}" for _ in range(40)])) for i in range(60)]
