@@ -32,7 +32,7 @@ SHARE, INNER = 0.1, 0.001
 #: Score that a chosen path has at least: pages without main text have none.
 LEAST = 0.5
 #: Prior of marked elements, of menus by class, and of text outside of article and main elements on pages that have one.
-MARKED, MENU, OUTSIDE = 0.001, 0.01, 0.2
+MARKED, MENU, OUTSIDE = 1e-7, 0.01, 0.2
 #: Paths of which more is link text aren't taken for being in the content node.
 LINKS = 0.6
 #: Share of the chosen text that the content node holds.
