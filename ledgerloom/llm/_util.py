@@ -51,6 +51,20 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
     return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_listed(rows: DataFrame, listed: DataFrame, key: str, inner: bool = False, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows with the columns of listed, which has one row of any size for some keys; without inner, rows of other keys stay.
+
+    Up to `limit` keys, they alone are broadcast, and only the rows that have one are shuffled; beyond, all rows are.
+    """
+    if listed.limit(limit + 1).count() > limit:
+        return rows.join(listed, key, "inner" if inner else "left")
+    keys = F.broadcast(listed.select(key))
+    found = rows.join(keys, key, "left_semi").join(listed.hint("merge"), key)
+    if inner:
+        return found
+    return found.unionByName(rows.join(keys, key, "left_anti"), allowMissingColumns=True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

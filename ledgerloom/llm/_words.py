@@ -22,6 +22,11 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first 0 to 8 bytes of a little-endian word; longest word that is hashed in eights.
+_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LONG = 512
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit over all others."""
@@ -79,10 +84,25 @@ def slices_of(buf: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-def word_hashes(distinct: pa.Array) -> np.ndarray:
-    """Two independent 64-bit hashes of each distinct word, as rows (n, 2): the halves of its XXH3-128."""
-    digest = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([digest(w) for w in distinct.to_pylist()]), "<u8").reshape(-1, 2)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each word, as rows (n, 2): eight bytes at a time go through `mix`, in two ways; words over LONG bytes by XXH3-128."""
+    wide = np.zeros(len(buf) + 8, np.uint8)
+    wide[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))
+    size = ends - starts
+    out = np.empty((len(starts), 2), np.uint64)
+    out[:, 0] = size
+    out[:, 1] = ~out[:, 0]
+    at, done = np.flatnonzero(size <= LONG), 0
+    while len(at):
+        part = eight[starts[at] + done] & _BYTES[np.minimum(size[at] - done, 8)]
+        out[at, 0] = mix(out[at, 0] * _STEP ^ part)
+        out[at, 1] = mix((out[at, 1] ^ _STEP) + part * _MIX1)
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.frombuffer(xxhash.xxh3_128_digest(buf[starts[i] : ends[i]].tobytes()), "<u8")
+    return out
 
 
 @lru_cache(8)

@@ -1,13 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-The documents of a source, in hash order, are one stream of tokens that is cut into blocks of equal token counts.
-Slot i of the schedule is the i-th van der Corput point in base 2, mapped through the cumulative slot weights of the
-sources; slots are ranked per source, and the r-th slot of a source takes its block r modulo the number of blocks.
-A source ends with the slot that fills its target, the last block cut to the token.
-
-Any N points have between L*N - d and L*N + d in an interval of length L, with d = 2 * (log2(N) / 3 + 1) (a known bound
-on the discrepancy of this sequence). Every source weighs SLACK slots more than it needs, which is above d for any N
-below 2**69, so none runs out of slots; ranks beyond the target are dropped.
+The documents of a source, in hash order, are one stream of tokens that is cut into blocks of equal token counts. A source
+weighs as many slots as its target takes blocks. Slot i of the schedule is the i-th van der Corput point in base 2, mapped
+through the cumulative weights of the sources: with 2**m slots the points are the whole numbers below 2**m with their bits
+reversed, so the slots of a source follow from its own interval, without a search. Slots are ranked per source, and the
+r-th slot of a source takes its block r modulo the number of blocks. A source ends with the slot that fills its target,
+the last block cut to the token. Any stretch of the schedule has each source's share of the slots up to a logarithm.
 
 Nothing is gathered by source: prefix sums run over hash buckets of about BUCKET_DOCS documents and over chunks of
 CHUNK slots first, then over one row for each bucket or chunk.
@@ -18,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._util import join_small, materialize
+from ledgerloom.llm._util import join_small, materialize, shuffle_partitions
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -26,10 +24,7 @@ WEIGHTS = (3, 1, 2)
 TOTAL, MOST = 1.5, 2
 #: Tokens of a block; a source has MIN_BLOCKS blocks at least, if it has so many tokens.
 BLOCK_TOKENS, MIN_BLOCKS = 4096, 64
-SLACK = 48
 BUCKET_DOCS, CHUNK = 1024, 4096
-#: Slots per cell of the table that maps points to sources.
-CELL = 64
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -64,27 +59,25 @@ def targets(rows: DataFrame) -> DataFrame:
     whole = F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0))
     per = per.withColumn("passes", whole.cast("long")).withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
     per = per.withColumn("slots", F.col("passes") * F.col("n_blocks") + F.ceil(F.col("rest") / F.col("block")).cast("long"))
-    weighed = F.when(F.col("slots") > 0, F.col("slots") + SLACK).otherwise(F.lit(0))
-    end = F.sum(weighed).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    per = per.withColumn("end", end).withColumn("begin", F.col("end") - weighed)
+    end = F.sum("slots").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    per = per.withColumn("end", end).withColumn("begin", F.col("end") - F.col("slots"))
     return per.drop("asked", "weights", "full", "cap")
 
 
 def schedule(sources: DataFrame) -> DataFrame:
     """(slot, key, rank, block_no, lo, hi): which tokens of its source's block each slot of the mix takes, in order of `slot`."""
-    spark = sources.sparkSession
-    n = sources.agg(F.coalesce(F.max("end"), F.lit(0))).first()[0]
-    point = F.conv(F.reverse(F.lpad(F.bin("slot"), 52, "0")), 2, 10).cast("double") / F.lit(float(1 << 52))
-    slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("x", point * F.lit(float(n)))
-    slots = slots.withColumn("cell", F.floor(F.col("x") / CELL).cast("long"))
-    owners = sources.filter("end > begin").withColumn("cell", F.explode(F.expr(f"sequence(begin div {CELL}, (end - 1) div {CELL})")))
-    owned = slots.join(owners, "cell").filter("x >= begin and x < end").withColumn("chunk", F.expr(f"slot div {CHUNK}"))
+    total = sources.agg(F.coalesce(F.max("end"), F.lit(0))).first()[0]
+    bits = max(1, int(total - 1).bit_length())
+    points = sources.filter("end > begin").withColumn("part", F.explode(F.expr(f"sequence(begin div {CHUNK}, (end - 1) div {CHUNK})"))).repartition(F.col("part"))
+    points = points.withColumn("point", F.explode(F.expr(f"sequence(greatest(begin, part * {CHUNK}), least(end, (part + 1) * {CHUNK}) - 1)")))
+    slot = F.conv(F.reverse(F.lpad(F.bin("point"), bits, "0")), 2, 10).cast("long")
+    owned = points.withColumn("slot", slot).withColumn("chunk", F.expr(f"slot div {CHUNK}"))
     owned = materialize(owned.select("slot", "chunk", "key", "slots", "block", "n_blocks", "passes", "rest", "source_size"), "slots")
     counts = owned.groupBy("key", "chunk").count()
     earlier = F.coalesce(F.sum("count").over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = owned.join(counts.withColumn("earlier", earlier).drop("count"), ["key", "chunk"])
     ranked = ranked.withColumn("rank", F.col("earlier") + F.row_number().over(Window.partitionBy("key", "chunk").orderBy("slot")) - 1)
-    ranked = ranked.filter("rank < slots").withColumn("block_no", F.col("rank") % F.col("n_blocks"))
+    ranked = ranked.withColumn("block_no", F.col("rank") % F.col("n_blocks"))
     last = F.when(F.expr("rank div n_blocks = passes"), F.least("source_size", "rest")).otherwise(F.col("source_size"))
     lo = F.col("block_no") * F.col("block")
     return ranked.select("slot", "key", "rank", "block_no", lo.alias("lo"), F.least(lo + F.col("block"), last).alias("hi")).filter("hi > lo")
@@ -103,6 +96,24 @@ def streams(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return placed.withColumn("start", F.col("earlier") + within).select("doc_id", "key", "size", "source_size", "target", "block", "start")
 
 
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row's place in its source's stream, and the schedule."""
+    rows = materialize(sizes(docs), "sizes")
+    sources = materialize(targets(rows), "sources")
+    return materialize(streams(rows, sources), "placed"), materialize(schedule(sources), "schedule")
+
+
+def _taken(placed: DataFrame, plan: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) by the blocks of the schedule that overlap with each document."""
+    visits = plan.select("key", "block_no", "lo", "hi")
+    parts = placed.filter("size > 0").withColumn("block_no", F.explode(F.expr("sequence(start div block, (start + size - 1) div block)")))
+    overlap = F.greatest(F.lit(0).cast("long"), F.least(F.col("start") + F.col("size"), F.col("hi")) - F.greatest("start", "lo"))
+    taken = parts.join(visits, ["key", "block_no"], "left").groupBy("key", "start", "doc_id", "size", "source_size", "target").agg(F.sum(F.when(F.col("hi").isNull(), F.lit(0)).otherwise(overlap)).alias("taken"))
+    empty = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    names = ["key", "start", "doc_id", "size", "source_size", "target", "taken"]
+    return taken.select(*names).unionByName(empty.select(*names))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs(doc_id, text, source); other columns are ignored.
 
@@ -111,35 +122,39 @@ def mix(docs: DataFrame) -> DataFrame:
     texts have size 0 and take nothing; rows that repeat are documents of their own, and rows alike in doc_id and size
     are interchangeable. Reruns give the same rows.
     """
-    rows = materialize(sizes(docs), "sizes")
-    sources = materialize(targets(rows), "sources")
-    visits = schedule(sources).select("key", "block_no", "lo", "hi")
-    placed = materialize(streams(rows, sources), "placed")
-    parts = placed.filter("size > 0").withColumn("block_no", F.explode(F.expr("sequence(start div block, (start + size - 1) div block)")))
-    overlap = F.greatest(F.lit(0).cast("long"), F.least(F.col("start") + F.col("size"), F.col("hi")) - F.greatest("start", "lo"))
-    taken = parts.join(visits, ["key", "block_no"], "left").groupBy("key", "start", "doc_id", "size", "source_size", "target").agg(F.sum(F.when(F.col("hi").isNull(), F.lit(0)).otherwise(overlap)).alias("taken"))
-    empty = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    names = ["doc_id", "size", "source_size", "target", "taken"]
-    return taken.select(*names).unionByName(empty.select(*names))
+    return _taken(*_placed(docs)).drop("key", "start")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken whole, and once more cut to the words left over, if any.
+def mixed_documents(docs: DataFrame, with_slot: bool = False) -> DataFrame:
+    """The mix itself, in the order of the schedule: each row of docs as often as it is taken whole, and once more cut to
+    the words left over, if any.
 
-    The cut row has its first words, joined by single spaces; it occurs where a source's target ends. Rows alike in
-    doc_id and size share what they take evenly, rounded down. All columns stay; n_chars, if there, fits the cut text.
+    A document stands at the slot of the block in which its pass through the source's stream reaches its first word; rows
+    are range-partitioned and sorted by that slot (and the place in the stream), so any prefix of the mix has each source
+    near its share; `slot` is returned if asked for. The cut row has its first words, joined by single spaces; it occurs
+    where a source's target ends. Rows alike in doc_id and size take the same places in turn. All columns stay; n_chars,
+    if there, fits the cut text.
     """
-    taken = mix(docs).groupBy("doc_id", "size").agg(F.expr("sum(taken) div count(*)").alias("_taken")).filter("_taken > 0")
-    taken = materialize(taken, "taken").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_taken")
+    placed, plan = _placed(docs)
+    taken = _taken(placed, plan).filter("taken > 0").select("key", "start", "doc_id", "size", "taken")
+    # rows alike in doc_id and size share what they take evenly, rounded down, and stand where the first of them stands
+    alike = taken.groupBy("key", "doc_id", "size").agg(F.expr("sum(taken) div count(*)").alias("taken"), F.min("start").alias("start")).filter("taken > 0")
+    alike = join_small(alike, placed.select("key", "block", "source_size").distinct(), ["key"], "inner")
+    alike = alike.withColumn("_pass", F.explode(F.expr("sequence(1, (taken + size - 1) div size)")))
+    rank = (F.col("_pass") - 1) * F.ceil(F.col("source_size") / F.col("block")) + F.expr("start div block")
+    alike = alike.withColumn("rank", rank.cast("long")).join(plan.select("key", "rank", "slot"), ["key", "rank"])
+    alike = alike.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "start", "slot", (F.col("taken") - (F.col("_pass") - 1) * F.col("size")).alias("_left"))
+    alike = materialize(alike.withColumnRenamed("start", "_start").withColumnRenamed("slot", "_slot"), "order")
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    both = docs.withColumn("_words", size).join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    both = both.withColumn("_pass", F.explode(F.expr("sequence(1, (_taken + _size - 1) div _size)")))
-    left = F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    both = both.withColumn("text", F.when(left < F.col("_size"), cut).otherwise(F.col("text")))
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+    both = docs.withColumn("_words", size).join(alike.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & (key == F.col("_key")))
+    both = both.repartitionByRange(shuffle_partitions(docs.sparkSession), "_slot", "_start").sortWithinPartitions("_slot", "_start", "doc_id")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_left").cast("int")), " ")
+    short = F.col("_left") < F.col("_size")
+    both = both.withColumn("text", F.when(short, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(left < F.col("_size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return both.select(*docs.columns)
+        both = both.withColumn("n_chars", F.when(short, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return both.select(*docs.columns, *([F.col("_slot").alias("slot")] if with_slot else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

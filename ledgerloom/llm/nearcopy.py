@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm._components import connected_components
 from ledgerloom.llm._util import join_small, map_arrow, materialize, shuffle_partitions
-from ledgerloom.llm._words import SPACE, blocks, mix, row_of, slices_of, spans, word_hashes
+from ledgerloom.llm._words import SPACE, blocks, mix, row_of, spans, word_hashes
 from ledgerloom.llm.simhash import _pairs, _runs, close_pairs, close_to, streamed
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -60,10 +60,8 @@ class Shingles:
     """Distinct hashed shingles of a block of texts, sorted within each text: hash, row, and the place of each text's first."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, words: int = SHINGLE):
-        inside = ~SPACE[buf]
-        starts, ends, first = spans(inside, offs)
-        code, distinct = slices_of(_LOWER[buf], inside, starts, ends)
-        both = word_hashes(distinct)[code]
+        starts, ends, first = spans(~SPACE[buf], offs)
+        both = word_hashes(_LOWER[buf], starts, ends)
         size, n = np.diff(first), len(offs) - 1
         #: of each text: a digest of its words
         self.whole = np.zeros((n, 2), np.uint64)
@@ -96,8 +94,11 @@ class Shingles:
         for lo in range(0, len(self.hash), 1 << 14):
             h, r = self.hash[lo : lo + (1 << 14)], self.row[lo : lo + (1 << 14)]
             wide = np.stack([mix(h + _SEEDS[i]) for i in range(bits // 64)], axis=1)
-            edge = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            ones[r[edge]] += np.add.reduceat(np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little"), edge, axis=0, dtype=np.int32)
+            # bits are bytes of which eight are added at once, at most 255 rows before they are carried over
+            edge = np.unique(np.r_[np.flatnonzero(np.r_[True, r[1:] != r[:-1]]), np.arange(0, len(r), 255)])
+            counts = np.add.reduceat(np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").view(np.uint64), edge, axis=0).view(np.uint8)
+            part = np.flatnonzero(np.r_[True, r[edge[1:]] != r[edge[:-1]]])
+            ones[r[edge[part]]] += np.add.reduceat(counts, part, axis=0, dtype=np.int32)
         return np.packbits(2 * ones > np.diff(self.first)[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
@@ -323,4 +324,4 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
     """docs without the near copies: of each group only the rows with its smallest doc_id; all columns stay, and so do rows with a null doc_id."""
     found = near_copies(docs, similarity, words).select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(materialize(found, "copies"), docs["doc_id"] == F.col("_copy"), "left_anti")
+    return join_small(docs.withColumn("_copy", F.col("doc_id").cast("long")), materialize(found, "copies"), ["_copy"], "left_anti").drop("_copy")

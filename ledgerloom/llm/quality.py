@@ -46,7 +46,7 @@ class Block:
         self.buf, self.offs = buf, offs
         self.inside = ~SPACE[buf]
         self.starts, self.ends, self.first = spans(self.inside, offs)
-        self.words, self.distinct = slices_of(buf, self.inside, self.starts, self.ends)
+        self.words = slices_of(buf, self.inside, self.starts, self.ends)[0]
         self.row = row_of(self.first)
 
     def base(self) -> dict[str, np.ndarray]:
@@ -80,7 +80,7 @@ class Block:
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """(row, bucket) of each unigram and each bigram."""
-        words = word_hashes(self.distinct)[:, 0][self.words]
+        words = word_hashes(self.buf, self.starts, self.ends)[:, 0]
         pair = np.flatnonzero(self.row[1:] == self.row[:-1]) if len(self.row) else np.zeros(0, np.int64)
         two = mix(words[pair] * np.uint64(3) + words[pair + 1]) if len(pair) else np.zeros(0, np.uint64)
         return np.concatenate([self.row, self.row[pair]]), (np.concatenate([words, two]) >> np.uint64(48)).astype(np.int64)

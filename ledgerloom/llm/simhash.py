@@ -42,8 +42,8 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(flat[a:b], 42) for a, b in zip(starts, ends[n - 1 :], strict=False)], "<u8")
     ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for i in range(0, len(h), 255):  # bits are bytes of which eight are added at once
+        ones += np.unpackbits(h[i : i + 255].view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8).sum(0).view(np.uint8)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
@@ -258,7 +258,7 @@ def keep_first(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> D
     Rows with a null doc_id stay, as they have no rank in their group; rows that repeat the smallest doc_id all stay.
     """
     found = near_duplicates(docs, words, radius).filter("doc_id > component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(materialize(found, "copies"), docs["doc_id"] == F.col("_copy"), "left_anti")
+    return join_small(docs.withColumn("_copy", F.col("doc_id").cast("long")), materialize(found, "copies"), ["_copy"], "left_anti").drop("_copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._util import join_small, map_arrow, materialize, shuffle_partitions
-from ledgerloom.llm._words import SPACE, Hasher, blocks, covered, mix, row_of, slices_of, spans, word_hashes
+from ledgerloom.llm._util import join_listed, map_arrow, materialize, shuffle_partitions
+from ledgerloom.llm._words import SPACE, Hasher, blocks, covered, mix, row_of, spans, word_hashes
 
 WINDOW = 50
 K = 20
@@ -66,12 +66,10 @@ class Grams:
     """Two independent families of hashes of the words in a block of documents."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, hashers: tuple[Hasher, Hasher]):
-        inside = ~SPACE[buf]
-        self.starts, self.ends, self.first = spans(inside, offs)
-        code, distinct = slices_of(buf, inside, self.starts, self.ends)
-        both = word_hashes(distinct)
+        self.starts, self.ends, self.first = spans(~SPACE[buf], offs)
+        both = word_hashes(buf, self.starts, self.ends)
         self.hashers = hashers
-        self.sums = [h.gram_sums(both[:, i][code]) for i, h in enumerate(hashers)]
+        self.sums = [h.gram_sums(both[:, i]) for i, h in enumerate(hashers)]
 
     def hash(self, family: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return self.hashers[family].grams(self.sums[family], lo, hi)
@@ -276,7 +274,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     walked = gone.withColumn("_run", F.col("lo") - before).groupBy(*walk, "_run").agg(F.min("lo").alias("lo"), F.sum("n").alias("n")).withColumn("src_lo", F.col("lo") + F.col("_far")).select(*_SPAN)
     asked = met.filter("branches and doc = src").select("doc", "lo", "n", "tag").unionByName(edges.filter("kind = 2").select("doc", "lo", "n", "tag")).distinct()
     listed = materialize(asked.groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "tag")).alias("found")), "asked")
-    split = materialize(join_small(rows, listed, ["doc"], "inner").select("doc", "text", "found").transform(map_arrow, _windows_of(window), _EDGE), "windows")
+    split = materialize(join_listed(rows, listed, "doc", True).select("doc", "text", "found").transform(map_arrow, _windows_of(window), _EDGE), "windows")
     same = Window.partitionBy("b1", "b2")
     single = split.filter("kind = 0").select("b1", "b2", "doc", "tag", "lo").repartition(n, "b1", "b2").withColumn("source", F.min(F.struct("doc", "tag", "lo")).over(same)).filter("doc > source.doc")
     single = _joined(single.select("doc", "tag", "lo", F.col("source.doc").alias("src"), F.col("source.tag").alias("src_tag"), F.col("source.lo").alias("src_lo")))
@@ -316,7 +314,7 @@ def verified_spans(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> D
     where = ["src", "src_tag", "src_lo", "n"]
     asked = found.select(*where).distinct().groupBy("src").agg(F.collect_list(F.struct("src_tag", "src_lo", "n")).alias("found"))
     rows = docs.select(F.col("doc_id").cast("long").alias("src"), F.col("text").cast("string").alias("text"))
-    digests = join_small(rows, materialize(asked, "sources"), ["src"], "inner").select("src", "text", "found").transform(map_arrow, _sources(window), "src long, src_tag int, src_lo long, n long, digest binary")
+    digests = join_listed(rows, materialize(asked, "sources"), "src", True).select("src", "text", "found").transform(map_arrow, _sources(window), "src long, src_tag int, src_lo long, n long, digest binary")
     known = found.join(materialize(digests.filter("digest is not null").distinct(), "digests"), where)
     return materialize(known.groupBy("doc").agg(F.collect_set(F.struct("lo", "n", "tag", "digest")).alias("found")), "listed")
 
@@ -370,8 +368,8 @@ def digests(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     than others: such rows keep all words and remove none. Rows with one doc_id never remove words of each other.
     """
     found = _found(docs, window, k)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(found, rows["doc_id"] == found["doc"], "left").select("doc_id", "text", "found")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    joined = join_listed(rows, found, "doc").select(F.col("doc").alias("doc_id"), "text", "found")
     return joined.transform(map_arrow, _removed(window, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -381,7 +379,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
     Texts that lose words have the rest joined by single spaces, others stay as they are; n_chars, if there, is counted anew.
     """
     found = _found(docs, window, k).select(F.col("doc").alias("_doc"), F.col("found").alias("_found"))
-    joined = docs.join(found, docs["doc_id"].cast("long") == found["_doc"], "left").drop("_doc")
+    joined = join_listed(docs.withColumn("_doc", F.col("doc_id").cast("long")), found, "_doc").select(*docs.columns, "_found")
     out = joined.transform(map_arrow, _removed(window, True), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

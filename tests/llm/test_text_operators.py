@@ -162,6 +162,18 @@ def test_substring_keeps_columns(spark):
     assert (got[2].n_chars, got[3].n_chars, got[2].component_id) == (1, 5, "clash")
 
 
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(3)
+    words = {"".join(rng.choice("abé") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 40, 600]))) for _ in range(4000)}
+    words = sorted(words | {w + "a" for w in words} | {"", *thue_morse(9)} - {""})
+    raw = " ".join(words * 2).encode()
+    buf = np.frombuffer(raw, np.uint8)
+    starts, ends, _ = _words.spans(~_words.SPACE[buf], np.array([0, len(buf)]))
+    h = _words.word_hashes(buf, starts, ends)
+    assert (h[: len(words)] == h[len(words) :]).all()
+    assert [len(np.unique(h[:, i])) for i in (0, 1)] == [len(words)] * 2
+
+
 def thue_morse(n):
     """A string over a and b and its complement, which collide under any polynomial hash modulo a power of two."""
     bits = [i.bit_count() & 1 for i in range(1 << n)]
@@ -212,8 +224,9 @@ def test_quality_verdict_against_plain(spark, monkeypatch):
     trusted = {i for i in range(0, 30, 4)} - {4}
 
     def buckets(text):
-        h = [xxhash.xxh3_128_intdigest(w.encode()) for w in words_of(text)]
-        h = [int.from_bytes((x).to_bytes(16, "big")[:8], "little") for x in h]
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        at = np.cumsum([0, *(len(w) + 1 for w in words_of(text))])
+        h = [int(x) for x in _words.word_hashes(raw, at[:-1], at[1:] - 1)[:, 0]] if words_of(text) else []
         mixed = lambda x: int(_words.mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
         return [x >> 48 for x in h] + [mixed(a * 3 + b) >> 48 for a, b in zip(h, h[1:], strict=False)]
 
@@ -291,7 +304,37 @@ def test_mixed_documents_hold_the_words_taken(spark):
 def test_schedule_interleaves_evenly(spark):
     rows = mixing.sizes(docs(spark, [(i, "w " * 200, "abc"[i % 3]) for i in range(90)]))
     plan = mixing.schedule(mixing.targets(rows)).orderBy("slot").collect()
+    assert len({r.slot for r in plan}) == len(plan)
     keys = [r.key for r in plan]
     total = {k: keys.count(k) for k in set(keys)}
-    half = keys[: len(keys) // 2]
-    assert all(abs(half.count(k) - n / 2) <= 0.15 * n + 3 for k, n in total.items())
+    for k, n in total.items():
+        own = [r.rank for r in plan if r.key == k]
+        assert own == list(range(n))
+        for prefix in range(len(keys)):
+            assert abs(keys[:prefix].count(k) - prefix * n / len(keys)) <= 8
+
+
+def test_every_prefix_of_the_mix_is_near_its_shares(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(20, 60), rng.choice("aaabbc")) for i in range(600)]
+    d = docs(spark, rows)
+    goal = {r.source_size: r.target for r in mixing.mix(d).collect()}
+    mixed = mixing.mixed_documents(d, with_slot=True).collect()
+    assert [r.slot for r in mixed] == sorted(r.slot for r in mixed)
+    size = {s: sum(len(words_of(t)) for _, t, x in rows if x == s) for s in "abc"}
+    whole = sum(goal.values())
+    seen = dict.fromkeys("abc", 0)
+    for r in mixed:
+        seen[r.source] += len(words_of(r.text))
+        done = sum(seen.values())
+        for s in "abc":
+            assert abs(seen[s] - done * goal[size[s]] / whole) <= 0.03 * whole
+    assert {s: seen[s] for s in "abc"} == {s: round(goal[size[s]]) for s in "abc"}
+
+
+def test_rows_alike_in_the_mix(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "d e f", "y"), (None, "g h", None), (2, None, "x")]
+    mixed = mixing.mixed_documents(docs(spark, rows)).collect()
+    taken = mixing.mix(docs(spark, rows)).collect()
+    assert sum(len(words_of(r.text)) for r in mixed) <= sum(r.taken for r in taken)
+    assert all(len(words_of(r.text)) for r in mixed) and {r.doc_id for r in mixed} <= {1, None}
