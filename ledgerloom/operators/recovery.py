@@ -33,8 +33,7 @@ def present(passage: str, content: str) -> bool:
     w = plain(passage).split()
     if len(w) < 5:
         return " ".join(w) in content
-    mid = len(w) // 2 - 2
-    runs = [w[:5], w[max(0, mid) : max(0, mid) + 5], w[-5:]]
+    runs = [w[:5], w[len(w) // 2 :][:5], w[-5:]]
     return sum(" ".join(r) in content for r in runs) >= 2
 
 

@@ -18,6 +18,12 @@ def _share(needles: Column, haystack: Column) -> Column:
     return F.when(n > 0, found / n).otherwise(F.lit(1.0))
 
 
+def _some(needles: Column, haystack: Column) -> Column:
+    """Whether a text holds one of the strings, case aside; false for none."""
+    low = F.lower(F.coalesce(haystack, F.lit("")))
+    return F.coalesce(F.exists(needles, lambda k: (F.length(k) > 0) & F.contains(low, F.lower(k))), F.lit(False))
+
+
 def level_threshold(level: Column, which: int) -> Column:
     """Of a level, the share of numbers (0) or keywords (1) that is asked for, or the least containment (2)."""
     out = F.lit(vocab.LEVELS["L1"][which])
@@ -49,10 +55,11 @@ def is_relevant(hits: DataFrame) -> DataFrame:
 
     hits(answerable, difficulty, gold_ids, chunk_id, keywords, numbers, content, gold_ticker, ticker, gold_years,
     period_years, gold_document, document_id, gold_pages, source_pages). Never for questions without an answer; by id
-    with some keyword or number in the text; else by ticker, year, keywords and page together.
+    if at least one keyword or number of the question is in the text; else by ticker, year, keywords and page together.
     """
     ids = F.transform("gold_ids", text.chunk_key)
-    some = (_share(F.col("keywords"), F.col("content")) > 0) | (_share(F.col("numbers"), text.drop_thousands(F.col("content"))) > 0)
+    plain = F.transform("numbers", lambda x: F.regexp_replace(text.normalize_number(x), "^-", ""))
+    some = _some(F.col("keywords"), F.col("content")) | _some(plain, text.drop_thousands(F.col("content")))
     by_id = F.coalesce(F.array_contains(ids, text.chunk_key(F.col("chunk_id"))), F.lit(False)) & some
     enough = _share(F.col("keywords"), F.col("content")) >= level_threshold(F.col("difficulty"), 1)
     by_fields = (

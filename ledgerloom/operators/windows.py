@@ -67,7 +67,7 @@ def tabular_words(words: DataFrame, keys: list[str], height: Column) -> DataFram
     """(keys, likely_tabular): whether numeric words stand in columns by their right edges.
 
     words(keys, x1, y0, text): within the margins of 5 and 94 percent of the page's height; right edges cluster against
-    a running mean, within 8 points. An Arrow function per page, as the running mean depends on the order.
+    a running mean, within 8 points. A page without such words has no columns. An Arrow function per page, as the running mean depends on the order.
     """
     import pyarrow as pa
 
@@ -98,4 +98,5 @@ def tabular_words(words: DataFrame, keys: list[str], height: Column) -> DataFram
         likely = any(n >= 5 for n in heights) or (len(good) >= 2 and sum(good) >= 6)
         return pa.table({k: [v.as_py()] for k, v in zip(keys, key, strict=True)} | {"likely_tabular": [likely]})
 
-    return numeric.groupBy(*keys).applyInArrow(cluster, f"{schema}, likely_tabular boolean")
+    found = numeric.groupBy(*keys).applyInArrow(cluster, f"{schema}, likely_tabular boolean")
+    return words.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("likely_tabular", F.lit(False)).alias("likely_tabular"))

@@ -39,8 +39,8 @@ def order_reports(spark, sf_dir) -> DataFrame:
 
 def table_shape_findings(spark, sf_dir):
     """Findings of the shape check, by order."""
-    rows = tables.table_rows(order_reports(spark, sf_dir), ["o_orderkey"], "markdown")
-    return tables.shape_findings(rows, ["o_orderkey"]).select("o_orderkey", "table_no", "finding", "hard", "at")
+    found = order_reports(spark, sf_dir).select("o_orderkey", tables.page_tables(F.col("markdown")).alias("found"))
+    return found.select("o_orderkey", F.explode(tables.page_findings(F.col("found"))).alias("f")).select("o_orderkey", "f.table_no", "f.finding", "f.hard", "f.at")
 
 
 SHAPES = """SELECT l_orderkey AS o_orderkey, CAST(1 AS BIGINT) AS table_no, 'row_width' AS finding, true AS hard, row_number() OVER (PARTITION BY l_orderkey) AS at FROM lineitem WHERE l_orderkey % 7 = 1 AND l_linenumber = 1
