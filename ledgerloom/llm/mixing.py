@@ -108,7 +108,7 @@ def _taken(placed: DataFrame, plan: DataFrame) -> DataFrame:
     visits = plan.select("key", "block_no", "lo", "hi")
     parts = placed.filter("size > 0").withColumn("block_no", F.explode(F.expr("sequence(start div block, (start + size - 1) div block)")))
     overlap = F.greatest(F.lit(0).cast("long"), F.least(F.col("start") + F.col("size"), F.col("hi")) - F.greatest("start", "lo"))
-    taken = parts.join(visits, ["key", "block_no"], "left").groupBy("key", "start", "doc_id", "size", "source_size", "target").agg(F.sum(F.when(F.col("hi").isNull(), F.lit(0)).otherwise(overlap)).alias("taken"))
+    taken = parts.join(visits.hint("merge"), ["key", "block_no"], "left").groupBy("key", "start", "doc_id", "size", "source_size", "target").agg(F.sum(F.when(F.col("hi").isNull(), F.lit(0)).otherwise(overlap)).alias("taken"))
     empty = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     names = ["key", "start", "doc_id", "size", "source_size", "target", "taken"]
     return taken.select(*names).unionByName(empty.select(*names))
