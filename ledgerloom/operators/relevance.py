@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, vocab
+from ledgerloom.operators import multisets, patterns
+from ledgerloom.operators.joins import checked_join
 
 
 def _share(needles: Column, haystack: Column) -> Column:
@@ -77,6 +79,35 @@ def pool_satisfies(level: Column, numbers: Column, keywords: Column, pooled: Col
     return (_share(numbers, text.drop_thousands(pooled)) >= level_threshold(level, 0)) & (_share(keywords, pooled) >= level_threshold(level, 1))
 
 
+def map_gold(questions: DataFrame, chunks: DataFrame, query: str, item: str, evidence: Column, content: Column) -> DataFrame:
+    """questions with `chunk_ids`, `best` and `coverage`: the chunks that answer each of them.
+
+    questions(query, difficulty, keywords, expected; evidence over them), chunks(item; content over them). A chunk answers
+    if it has the level's least containment of the evidence's tokens, numbers without thousands commas, or else all of the
+    keywords, case aside; a match by keywords alone raises the best containment to the level's least. Coverage is full from
+    the expected number of chunks on, partial below. L5 asks for nothing: no chunks, none, 0.
+    """
+    least = level_threshold(F.col("difficulty"), 2)
+    asked = questions.filter("difficulty <> 'L5'")
+    tokens = lambda c: text.tokens(text.drop_thousands(F.coalesce(c, F.lit(""))))
+    found = multisets.containment(asked, query, chunks, item, tokens(evidence), tokens(content))
+    words = asked.select(query, F.explode(F.array_distinct(F.transform("keywords", lambda k: F.lower(text.drop_thousands(k))))).alias("word")).filter("word <> ''")
+    held = patterns.holding(chunks, item, F.lower(text.drop_thousands(F.coalesce(content, F.lit("")))), words.select("word").distinct(), "word", F.col("word"))
+    wanted = words.groupBy(query).agg(F.count("*").alias("wanted"))
+    worded = checked_join(checked_join(held, words, ["word"]).groupBy(query, item).agg(F.count("*").alias("got")), wanted, [query]).filter("got = wanted").select(query, item, F.lit(True).alias("worded"))
+    both = found.join(worded, [query, item], "full_outer").withColumn("containment", F.coalesce("containment", F.lit(0.0)))
+    both = checked_join(both, asked.select(query, least.alias("least")), [query])
+    by_words = F.coalesce("worded", F.lit(False))
+    figures = both.groupBy(query).agg(
+        F.array_sort(F.collect_list(F.when((F.col("containment") >= F.col("least")) | by_words, F.col(item)))).alias("chunk_ids"),
+        F.max(F.when(by_words, F.greatest("containment", "least")).otherwise(F.col("containment"))).alias("best"),
+    )
+    ids = F.coalesce("chunk_ids", F.array().cast(figures.schema["chunk_ids"].dataType))
+    n = F.size(ids)
+    coverage = F.when(F.col("difficulty") == "L5", "none").when(n >= F.col("expected"), "full").when(n > 0, "partial").otherwise("none")
+    return questions.join(figures, query, "left").select(*questions.columns, ids.alias("chunk_ids"), F.coalesce("best", F.lit(0.0)).alias("best"), coverage.alias("coverage"))
+
+
 def _near(v: Column, g: Column) -> Column:
     """Values alike as they are, or as one is the percentage of the other."""
     close = lambda a, least: (F.abs(a - g) < least) | ((g != 0) & (F.abs(a - g) / F.abs(g) < 0.025))

@@ -20,9 +20,11 @@ K1, B = 1.5, 0.75
 FETCH, RETRY = 200, 400
 #: Queries of one block, whose vectors are sent to every task.
 QUERIES = 10_000
+#: Queries and chunks of one product.
+CHUNKS = 2048
 
 #: Queries times terms up to which lexical weights are a matrix; chunks that are scored together.
-CELLS, DOCS = 5_000_000, 512
+CELLS, DOCS, TERMS = 5_000_000, 512, 4096
 
 FILTERS = ("ticker", "document_id", "fiscal_year", "period_year", "statement_type", "fiscal_period", "form_type", "contains_table", "contains_text")
 SELECTIVE = ("ticker", "fiscal_year", "statement_type", "document_id")
@@ -70,7 +72,8 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, item: str = "vec_i
 
     chunks(item, embedding), queries(query, vector), whose vectors go to every task; more than QUERIES of them are
     searched in blocks by a hash of the query's id, each over all chunks. Each batch of chunks keeps its own k best
-    before anything is shuffled, so the exchange is small whatever the table's size. Scores are rounded before they are ranked, ties go to the smaller id.
+    before anything is shuffled, so the exchange is small whatever the table's size. Vectors of different length don't meet; null
+    ids, and vectors that are null, empty or hold a null, are left out. Scores are rounded before they are ranked, ties go to the smaller id.
     """
     asked = queries.select(F.col(query).cast("long"), F.col("vector").cast("array<double>")).limit(QUERIES + 1).toArrow()
     if len(asked) > QUERIES:
@@ -79,26 +82,45 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, item: str = "vec_i
         blocks = -(-queries.count() // QUERIES)
         block = F.pmod(F.xxhash64(F.col(query).cast("long"), F.lit(_depth)), F.lit(blocks))
         return reduce(DataFrame.unionByName, [dense_topk(chunks, queries.filter(block == i), k, item, query, digits, _depth + 1) for i in range(blocks)])
-    ids = asked.column(0).to_numpy()
-    matrix = np.array(asked.column(1).to_pylist(), float).reshape(len(ids), -1)
+    by_size: dict[int, tuple[list, list]] = {}
+    for i, v in zip(asked.column(0).to_pylist(), asked.column(1).to_pylist(), strict=True):
+        if i is not None and v and None not in v:
+            ids, rows = by_size.setdefault(len(v), ([], []))
+            ids.append(i)
+            rows.append(v)
+    matrices = {size: (np.array(ids), np.array(rows, float)) for size, (ids, rows) in by_size.items()}
 
     def best(batches):
         for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            items = b.column(0).to_numpy()
-            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-            scores = np.round(matrix @ x.T, digits)
-            order = np.lexsort((np.broadcast_to(items, scores.shape), -scores), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, order.shape[1])), pa.array(items[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())],
-                [query, item, "score"],
-            )
-
-    found = chunks.filter(F.col("embedding").isNotNull()).select(F.col(item).cast("long"), F.col("embedding").cast("array<double>"))
+            size = np.diff(b.column(1).offsets.to_numpy())
+            for width, (ids, matrix) in matrices.items():
+                own = b.filter(pa.array(size == width))
+                for lo in range(0, own.num_rows, CHUNKS):
+                    part = own.slice(lo, CHUNKS)
+                    items, x = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+                    for at in range(0, len(ids), CHUNKS):
+                        yield _k_best(ids[at : at + CHUNKS], items, np.round(matrix[at : at + CHUNKS] @ x.T, digits), k, query, item)
+
+    vector = F.col("embedding").cast("array<double>")
+    found = chunks.filter(F.col(item).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())).select(F.col(item).cast("long"), vector.alias("embedding"))
     return ranked(found.mapInArrow(best, f"{query} long, {item} long, score double"), query, item, k)
 
 
+def _k_best(ids: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int, query: str, item: str) -> pa.RecordBatch:
+    """Of each row of scores the k best, ties to the smaller item; what can't be among them isn't sorted."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        row, col = np.nonzero(scores >= least[:, None])
+    else:
+        row, col = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((items[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(ids)))
+    keep = np.arange(len(row)) - first[row] < k
+    row, col = row[keep], col[keep]
+    return pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(items[col], pa.int64()), pa.array(scores[row, col], pa.float64())], [query, item, "score"])
+
+
 def dense_filtered(chunks: DataFrame, queries: DataFrame, condition: Column, k: int, before: bool, fetch: int = FETCH, retry: int = RETRY, **names) -> DataFrame:
     """Dense search with a filter on the chunks' columns before or after ranking.
 
@@ -179,13 +201,15 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int, item: str = "doc
             for lo in range(0, b.num_rows, DOCS):
                 hi = min(lo + DOCS, b.num_rows)
                 own = slice(*np.searchsorted(doc, [lo, hi]))
-                part = np.zeros((hi - lo, len(terms)))
-                part[doc[own] - lo, term[own]] = tf[own] / (tf[own] + K1 * (1 - B + B * length[doc[own]] / mean))
-                scores = np.round((part @ weights).T, digits)
-                order = np.lexsort((np.broadcast_to(items[lo:hi], scores.shape), -scores), axis=1)[:, :k]
-                top = np.take_along_axis(scores, order, 1)
-                some = top > 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1]).reshape(order.shape)[some]), pa.array(items[lo:hi][order][some]), pa.array(top[some])], [query, item, "score"])
+                row, col, value = doc[own] - lo, term[own], tf[own] / (tf[own] + K1 * (1 - B + B * length[doc[own]] / mean))
+                scores = np.zeros((hi - lo, len(ids)))
+                for at in range(0, len(terms), TERMS):  # only so many terms are a matrix at once
+                    here = (col >= at) & (col < at + TERMS)
+                    part = np.zeros((hi - lo, min(TERMS, len(terms) - at)))
+                    part[row[here], col[here] - at] = value[here]
+                    scores += part @ weights[at : at + TERMS]
+                found = _k_best(ids, items[lo:hi], np.round(scores.T, digits), k, query, item)
+                yield found.filter(pc.greater(found.column(2), 0.0))
 
     return ranked(rows.mapInArrow(best, f"{query} long, {item} long, score double"), query, item, k)
 
@@ -210,6 +234,42 @@ def fuse(legs: list[DataFrame], query: str, item: str, k: int, constant: int = R
     return ranked(scored, query, item, k)
 
 
+def search(
+    chunks: DataFrame, queries: DataFrame, k: int, mode: str = "hybrid", strategy: str = "post_filter", depth: int = 40, item: str = "chunk_id", query: str = "query_id",
+    chunk_tokens: Column | None = None, query_tokens: Column | None = None, **wanted,
+) -> DataFrame:
+    """(query, item, score, rank): the k best chunks of each query.
+
+    chunks(item, text, embedding and the fields of `payload_filter`), queries(query, text, vector). mode: `dense`, `sparse`
+    (words) or `hybrid`, which fuses the `depth` best of both (twice k at least). The filter given by **wanted holds before
+    ranking (`pre_filter`) or after it (`post_filter`); selective filters always go first. After ranking, FETCH hits are
+    looked at, and RETRY of a query of which none is left.
+    """
+    if mode not in ("dense", "sparse", "hybrid") or strategy not in ("pre_filter", "post_filter"):
+        raise ValueError("mode is dense, sparse or hybrid, strategy pre_filter or post_filter")
+    filtered = any(v is not None for v in wanted.values())
+    before = filtered and (strategy == "pre_filter" or is_selective(**wanted))
+    condition = payload_filter(**wanted)
+    own = chunks.filter(condition) if before else chunks
+
+    def leg(name: str, n: int) -> DataFrame:
+        if name == "dense":
+            return dense_topk(own, queries, n, item=item, query=query)
+        return lexical_topk(own, queries, n, item, query, chunk_tokens, query_tokens)
+
+    def legs(n: int) -> DataFrame:
+        return leg(mode, n) if mode != "hybrid" else fuse([leg(x, max(depth, 2 * n)) for x in ("dense", "sparse")], query, item, n)
+
+    if before or not filtered:
+        return legs(k)
+    hits = legs(max(RETRY, k)).withColumnRenamed("rank", "place")
+    kept = hits.join(chunks.filter(condition).select(item), item, "left_semi")
+    first = max(FETCH, k)
+    near = F.max((F.col("place") <= first).cast("int")).over(Window.partitionBy(query)) == 1
+    kept = kept.withColumn("near", near).filter(~F.col("near") | (F.col("place") <= first))
+    return ranked(kept.drop("place", "near"), query, item, k)
+
+
 def sparse_vectors(chunks: DataFrame, item: str, tokens: Column) -> DataFrame:
     """(item, indices, weights): BM25 term weights of each chunk, without document frequencies; terms by 31-bit hash."""
     sized = chunks.select(item, tokens.alias("_tokens")).withColumn("size", F.size("_tokens"))

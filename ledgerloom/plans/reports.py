@@ -50,13 +50,14 @@ UNION ALL SELECT l_orderkey, 1, 'merged_cell', true, row_number() OVER (PARTITIO
 
 def linearized_facts(spark, sf_dir):
     """Facts of all tables: item, column label and value; group labels stand before the items they hold for."""
-    rows = tables.table_rows(order_reports(spark, sf_dir).filter("o_orderkey % 7 in (0, 5, 6)"), ["o_orderkey"], "markdown")
+    rows = tables.table_rows(order_reports(spark, sf_dir), ["o_orderkey"], "markdown")
     return tables.linear_facts(rows, ["o_orderkey"]).select("o_orderkey", "item", "label", "value")
 
 
-FACTS = """WITH r AS (SELECT l_orderkey AS o_orderkey, CASE WHEN l_orderkey % 7 = 6 THEN 'Parts > ' ELSE '' END || 'Part ' || l_partkey || ' no ' || l_linenumber AS item,
-  format('{:,}', CAST(round_even(l_extendedprice, 0) AS BIGINT)) AS price, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS n FROM lineitem WHERE l_orderkey % 7 IN (0, 5, 6))
-SELECT o_orderkey, item, 'FY2024' AS label, price AS value FROM r UNION ALL SELECT o_orderkey, item, 'FY2023', n FROM r
+FACTS = """WITH r AS (SELECT l_orderkey AS o_orderkey, l_orderkey % 7 AS k, l_linenumber, CASE WHEN l_orderkey % 7 = 6 THEN 'Parts > ' ELSE '' END || 'Part ' || l_partkey || ' no ' || l_linenumber AS item,
+  format('{:,}', CAST(round_even(l_extendedprice, 0) AS BIGINT)) AS price, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS n FROM lineitem WHERE l_orderkey % 7 <> 4)
+SELECT o_orderkey, item, 'FY2024' AS label, CASE WHEN k = 3 THEN price || ' ' || n ELSE price END AS value FROM r
+UNION ALL SELECT o_orderkey, item, 'FY2023', n FROM r WHERE k <> 3 AND NOT (k = 1 AND l_linenumber = 1) UNION ALL SELECT o_orderkey, item, 'FY2025', n FROM r WHERE k = 2
 UNION ALL SELECT DISTINCT o_orderkey, 'Total parts', 'FY2024', '1' FROM r WHERE o_orderkey % 7 = 6 UNION ALL SELECT DISTINCT o_orderkey, 'Total parts', 'FY2023', '2' FROM r WHERE o_orderkey % 7 = 6"""
 
 
@@ -80,17 +81,16 @@ _FRAGMENTS = "SELECT DISTINCT l_orderkey AS o_orderkey, CAST(CASE WHEN l_orderke
 
 def rendered_tables(spark, sf_dir):
     """Tables parsed and rendered again, by their digest: the text between the unit line and the sentence."""
-    pages = order_reports(spark, sf_dir).filter("o_orderkey % 7 in (0, 6)")
-    rows = tables.table_rows(pages, ["o_orderkey"], "markdown")
-    ordered = rows.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("r"))
-    cells = F.transform("r", lambda x: x["cells"])
-    return ordered.select("o_orderkey", F.md5(tables.render(cells[0], F.slice(cells, 2, 10_000))).alias("digest"))
+    found = order_reports(spark, sf_dir).select("o_orderkey", F.explode(tables.page_tables(F.col("markdown"))).alias("t"))
+    rows = F.col("t.rows")
+    return found.select("o_orderkey", F.md5(tables.render(rows[0], F.slice(rows, 2, F.greatest(F.lit(1), F.size(rows) - 1)))).alias("digest"))
 
 
-RENDERED = """WITH l AS (SELECT l_orderkey AS k, l_linenumber, '| Part ' || l_partkey || ' no ' || l_linenumber || ' | ' || format('{:,}', CAST(round_even(l_extendedprice, 0) AS BIGINT)) || ' | ' || CAST(l_quantity AS INT) || ' |' AS row
-  FROM lineitem WHERE l_orderkey % 7 IN (0, 6)),
-r AS (SELECT k, string_agg(row, chr(10) ORDER BY l_linenumber, row) AS t FROM l GROUP BY 1)
-SELECT k AS o_orderkey, md5('| Item | FY2024 | FY2023 |' || chr(10) || '| --- | --- | --- |' || chr(10) || CASE WHEN k % 7 = 6 THEN '| Parts |  |  |' || chr(10) ELSE '' END || t || CASE WHEN k % 7 = 6 THEN chr(10) || '| Total parts | 1 | 2 |' ELSE '' END) AS digest FROM r"""
+RENDERED = """WITH l AS (SELECT l_orderkey AS k, l_linenumber, l_orderkey % 7 AS way, '| Part ' || l_partkey || ' no ' || l_linenumber || ' | ' AS head, format('{:,}', CAST(round_even(l_extendedprice, 0) AS BIGINT)) AS price, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS n
+  FROM lineitem WHERE l_orderkey % 7 <> 4),
+c AS (SELECT k, l_linenumber, head || CASE WHEN way = 1 AND l_linenumber = 1 THEN price WHEN way = 2 THEN price || ' | ' || n || ' | ' || n WHEN way = 3 THEN price || ' ' || n || ' | ' ELSE price || ' | ' || n END || ' |' AS row FROM l),
+r AS (SELECT k, string_agg(row, chr(10) ORDER BY l_linenumber, row) AS t FROM c GROUP BY 1)
+SELECT k AS o_orderkey, md5('| Item | FY2024 | FY2023 |' || CASE WHEN k % 7 = 2 THEN ' FY2025 |' ELSE '' END || chr(10) || '| --- | --- | --- |' || CASE WHEN k % 7 = 2 THEN ' --- |' ELSE '' END || chr(10) || CASE WHEN k % 7 = 6 THEN '| Parts |  |  |' || chr(10) ELSE '' END || t || CASE WHEN k % 7 = 6 THEN chr(10) || '| Total parts | 1 | 2 |' ELSE '' END) AS digest FROM r"""
 
 
 def observed_units(spark, sf_dir):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import metrics, multisets, search
+from ledgerloom.operators import metrics, multisets, patterns, relevance, search
 from ledgerloom.operators.joins import small
 
 
@@ -74,7 +74,7 @@ per AS (
 def two_tier_report(spark, sf_dir):
     """Means over all passages and over those that some document has."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    held = docs.join(small(items.select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage")).select("item_id").distinct().withColumn("held", F.lit(True))
+    held = patterns.holding(docs, "doc_id", F.col("text"), items, "item_id", F.col("text")).select("item_id").distinct().withColumn("held", F.lit(True))
     questions = items.join(held, "item_id", "left").select("item_id", F.coalesce("held", F.lit(False)).alias("held"))
     out = metrics.two_tiers(lexical_hit_metrics(spark, sf_dir), questions, "item_id", F.col("held"), ["hit_1", "hit_5", "hit_10", "rr", "ndcg_10"])
     return out.select("tier", "questions", *[F.round(m, 5).alias(m) for m in ("hit_1", "hit_5", "hit_10", "rr", "ndcg_10")])
@@ -137,44 +137,51 @@ SELECT item_id, doc_id, containment, rank FROM (SELECT *, row_number() OVER (PAR
 
 
 def gold_mapping(spark, sf_dir):
-    """Documents that answer a passage: containment above its level's threshold raised to 0.9, and how well it is covered."""
-    docs, items = table(spark, sf_dir, "documents"), _graded(spark, sf_dir).join(table(spark, sf_dir, "benchmark"), "item_id")
-    found = multisets.containment(items, "item_id", docs, "doc_id", text.tokens(F.col("text")), text.tokens(F.col("text"))).filter("containment >= 0.9")
-    n = found.groupBy("item_id").agg(F.count("*").alias("matches"), F.round(F.max("containment"), 6).alias("best"))
-    joined = items.select("item_id", "difficulty", text.expected_chunks(F.col("difficulty")).cast("long").alias("expected")).join(n, "item_id", "left")
-    matches = F.coalesce("matches", F.lit(0))
-    coverage = F.when(matches >= F.col("expected"), "full").when(matches > 0, "partial").otherwise("none")
-    return joined.select("item_id", "difficulty", "expected", matches.alias("matches"), F.coalesce("best", F.lit(0.0)).alias("best"), coverage.alias("coverage"))
-
-
-GOLD = f"""WITH
-q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest({TOKENS}) AS t FROM benchmark) GROUP BY 1, 2),
-d AS (SELECT doc_id, t, count(*) AS c FROM (SELECT doc_id, unnest({TOKENS}) AS t FROM documents) GROUP BY 1, 2),
+    """Documents that answer a passage, by its level's containment or by all of its keywords, and how well it is covered."""
+    words = F.filter(F.array_distinct(text.tokens(F.col("text"))), lambda w: F.length(w) >= 9)
+    items = _graded(spark, sf_dir).join(table(spark, sf_dir, "benchmark"), "item_id").withColumn("keywords", F.slice(words, 1, 4))
+    items = items.withColumn("expected", text.expected_chunks(F.col("difficulty")))
+    found = relevance.map_gold(items, table(spark, sf_dir, "documents"), "item_id", "doc_id", F.col("text"), F.col("text"))
+    return found.select("item_id", "difficulty", F.col("expected").cast("long").alias("expected"), F.size("chunk_ids").cast("long").alias("matches"), F.round("best", 6).alias("best"), "coverage")
+
+
+_PLAIN = r"regexp_replace(regexp_replace(coalesce(text, ''), '(\d),(\d{3})\b', '\1\2', 'g'), '(\d),(\d{3})\b', '\1\2', 'g')"
+_PLAIN_TOKENS = TOKENS.replace("coalesce(text, '')", _PLAIN)
+GOLD = rf"""WITH
+b AS (SELECT item_id, text, 'L' || (item_id % 5 + 1) AS difficulty FROM benchmark),
+e AS (SELECT *, CAST(CASE difficulty WHEN 'L5' THEN 0 WHEN 'L4' THEN 3 WHEN 'L3' THEN 2 ELSE 1 END AS BIGINT) AS expected,
+  CASE difficulty WHEN 'L1' THEN 0.4 WHEN 'L2' THEN 0.5 WHEN 'L3' THEN 0.45 ELSE 0.35 END AS least FROM b),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest({_PLAIN_TOKENS}) AS t FROM e WHERE difficulty <> 'L5') GROUP BY 1, 2),
+d AS (SELECT doc_id, t, count(*) AS c FROM (SELECT doc_id, unnest({_PLAIN_TOKENS}) AS t FROM documents) GROUP BY 1, 2),
 size AS (SELECT item_id, sum(c) AS n FROM q GROUP BY 1),
-m AS (SELECT q.item_id, d.doc_id, sum(least(q.c, d.c)) / any_value(size.n) AS containment FROM q JOIN d USING (t) JOIN size USING (item_id) GROUP BY 1, 2 HAVING containment >= 0.9),
-n AS (SELECT item_id, count(*) AS matches, round(max(containment), 6) AS best FROM m GROUP BY 1),
-b AS (SELECT item_id, 'L' || (item_id % 5 + 1) AS difficulty FROM benchmark),
-e AS (SELECT *, CAST(CASE difficulty WHEN 'L5' THEN 0 WHEN 'L4' THEN 3 WHEN 'L3' THEN 2 ELSE 1 END AS BIGINT) AS expected FROM b)
-SELECT e.item_id, difficulty, expected, coalesce(matches, 0) AS matches, coalesce(best, 0) AS best,
-  CASE WHEN coalesce(matches, 0) >= expected THEN 'full' WHEN coalesce(matches, 0) > 0 THEN 'partial' ELSE 'none' END AS coverage
-FROM e LEFT JOIN n USING (item_id)"""
+m AS (SELECT q.item_id, d.doc_id, sum(least(q.c, d.c)) / any_value(size.n) AS containment FROM q JOIN d USING (t) JOIN size USING (item_id) GROUP BY 1, 2),
+k0 AS (SELECT item_id, unnest(range(1, len(ts) + 1)) AS p, ts FROM (SELECT item_id, {TOKENS} AS ts FROM e WHERE difficulty <> 'L5')),
+k1 AS (SELECT item_id, ts[p] AS word, min(p) AS p FROM k0 WHERE length(ts[p]) >= 9 GROUP BY 1, 2),
+k AS (SELECT item_id, word FROM k1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY p) <= 4),
+n AS (SELECT item_id, count(*) AS n FROM k GROUP BY 1),
+h AS (SELECT k.item_id, doc_id FROM k JOIN (SELECT doc_id, lower({_PLAIN}) AS t FROM documents) x ON contains(t, word) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*) = any_value(n.n)),
+j AS (SELECT coalesce(m.item_id, h.item_id) AS item_id, coalesce(m.doc_id, h.doc_id) AS doc_id, coalesce(containment, 0) AS containment, h.item_id IS NOT NULL AS worded FROM m FULL JOIN h ON m.item_id = h.item_id AND m.doc_id = h.doc_id),
+g AS (SELECT item_id, count(*) FILTER (containment >= least OR worded) AS matches, max(CASE WHEN worded THEN greatest(containment, least) ELSE containment END) AS best FROM j JOIN e USING (item_id) GROUP BY 1)
+SELECT e.item_id, difficulty, expected, coalesce(matches, 0) AS matches, round(coalesce(best, 0), 6) AS best,
+  CASE WHEN difficulty = 'L5' THEN 'none' WHEN coalesce(matches, 0) >= expected THEN 'full' WHEN coalesce(matches, 0) > 0 THEN 'partial' ELSE 'none' END AS coverage
+FROM e LEFT JOIN g USING (item_id)"""
 
 # --- dense and fused -----------------------------------------------------------------------------------------------
 
 
 def _vectors(spark, sf_dir):
     chunks = table(spark, sf_dir, "embeddings")
-    return chunks, chunks.filter("vec_id % 25 = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return chunks, chunks.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 DENSE = """
 s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 5) AS score
-      FROM embeddings q, embeddings c WHERE q.vec_id % 25 = 3)
+      FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0)
 """
 
 
 def dense_topk(spark, sf_dir):
-    """The ten nearest vectors of every 25th vector."""
+    """The ten nearest vectors of every 50th vector."""
     return search.dense_topk(*_vectors(spark, sf_dir), 10)
 
 
@@ -211,7 +218,7 @@ def hybrid_fusion(spark, sf_dir):
 
 HYBRID = f"""WITH {DENSE},
 h AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(CAST(q.embedding[1:32] AS DOUBLE[]), CAST(c.embedding[1:32] AS DOUBLE[])), 5) AS score
-      FROM embeddings q, embeddings c WHERE q.vec_id % 25 = 3),
+      FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0),
 legs AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
          UNION ALL SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM h),
 f AS (SELECT query_id, vec_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM legs WHERE rank <= 20 GROUP BY 1, 2)
@@ -222,7 +229,7 @@ def ndcg_report(spark, sf_dir):
     """nDCG@10 and hit@5 of the dense search, a hit of the query's own label being relevant."""
     chunks, _ = _vectors(spark, sf_dir)
     label = chunks.select("vec_id", "label")
-    hits = dense_topk(spark, sf_dir).join(label, "vec_id").join(small(label.filter("vec_id % 25 = 3").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))), "query_id")
+    hits = dense_topk(spark, sf_dir).join(label, "vec_id").join(small(label.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))), "query_id")
     found = metrics.per_question(hits.withColumn("relevant", F.col("label") == F.col("own")), ["query_id"], (5, 10))
     return found.select("query_id", F.round("ndcg_10", 6).alias("ndcg_10"), "hit_5")
 
@@ -238,29 +245,80 @@ SELECT query_id, round(coalesce(dcg / idcg, 0), 6) AS ndcg_10, hit_5 FROM g LEFT
 
 
 def conversation_context(spark, sf_dir):
-    """Turns of each conversation in order, the first four, with their roles."""
-    from ledgerloom.operators import windows
-
-    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("["), "role", F.lit("] "), F.substring("text", 1, 200)).alias("line"))
-    joined = windows.joined_in_order(talk, ["conv_id"], "turn", "line", "\n", 4)
-    return joined.select("conv_id", F.md5("line").alias("digest"), F.length("line").cast("long").alias("n_chars"))
+    """The context of each conversation: its first five turns in order under their headers, texts cut at 2,000 characters."""
+    talk = table(spark, sf_dir, "conversations")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    hits = talk.select("conv_id", F.row_number().over(order).alias("rank"), F.col("role").alias("document_id"), F.array("turn").alias("source_pages"), F.coalesce("text", F.lit("")).alias("content"))
+    context = relevance.context_of(hits, "conv_id")
+    return context.select("conv_id", F.md5("context").alias("digest"), F.length("context").cast("long").alias("n_chars"))
 
 
 CONTEXT = """SELECT conv_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n_chars FROM (
-  SELECT conv_id, string_agg(line, chr(10) ORDER BY turn, line) AS t FROM (
-    SELECT conv_id, turn, '[' || role || '] ' || substring(text, 1, 200) AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, '[' || role || '] ' || substring(text, 1, 200)) AS n FROM conversations) WHERE n <= 4 GROUP BY 1)"""
+  SELECT conv_id, string_agg(part, chr(10) || chr(10) ORDER BY n) AS t FROM (
+    SELECT conv_id, '[Document: ' || coalesce(role, '?') || ' | Page: ' || turn || ']' || chr(10) || substring(coalesce(text, ''), 1, 2000) AS part, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) WHERE n <= 5 GROUP BY 1)"""
+
+
+def hit_relevance(spark, sf_dir):
+    """Lexical hits held against labelled questions: by id with a signal in the text, or by ticker, years, keywords and pages."""
+    i, d = F.col("item_id"), F.col("doc_id")
+    tickers = lambda c: F.element_at(F.array(F.lit("aapl"), F.lit("NVDA")), (c % 2 + 1).cast("int"))
+    words = F.filter(F.array_distinct(text.tokens(F.col("text"))), lambda w: F.length(w) >= 6)
+    items = table(spark, sf_dir, "benchmark").select(
+        "item_id",
+        (i % 7 != 0).alias("answerable"),
+        F.concat(F.lit("L"), (i % 5 + 1).cast("string")).alias("difficulty"),
+        F.array(F.concat(F.lit("Doc-"), (i * 3).cast("string")), F.concat(F.lit("doc_"), (i * 5).cast("string"))).alias("gold_ids"),
+        F.when(i % 3 == 0, F.array().cast("array<string>")).otherwise(F.slice(words, 1, 5)).alias("keywords"),
+        F.array(F.lit("1,234")).alias("numbers"),
+        F.when(i % 4 != 0, tickers(i)).alias("gold_ticker"),
+        F.when(i % 2 == 0, F.array((2020 + i % 3).cast("int"))).alias("gold_years"),
+        F.lit(None).cast("string").alias("gold_document"),
+        F.when(i % 6 == 0, F.array((i % 4).cast("int"), F.lit(9))).alias("gold_pages"),
+    )
+    hits = lexical_topk(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    hits = hits.withColumns({"chunk_id": F.concat(F.lit("doc "), d.cast("string")), "ticker": F.upper(tickers(d)), "period_years": F.array((2020 + d % 3).cast("int")), "document_id": F.lit("x"), "source_pages": F.array((d % 4).cast("int"))})
+    return relevance.is_relevant(hits.join(small(items), "item_id")).select("item_id", "doc_id", "relevant")
+
+
+RELEVANCE = rf"""WITH {BM25},
+q0 AS (SELECT item_id, ts, unnest(range(1, len(ts) + 1)) AS p FROM (SELECT item_id, {TOKENS} AS ts FROM benchmark)),
+q1 AS (SELECT item_id, ts[p] AS word, min(p) AS p FROM q0 WHERE length(ts[p]) >= 6 GROUP BY 1, 2),
+k AS (SELECT item_id, word FROM q1 WHERE item_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY p) <= 5),
+x AS (SELECT h.item_id, h.doc_id, lower(coalesce(d.text, '')) AS low, regexp_matches(coalesce(d.text, ''), '(^|[^\d])(\d*,)*\d*1,?234') AS number FROM hits h JOIN documents d USING (doc_id)),
+s AS (SELECT x.item_id, x.doc_id, any_value(x.number) AS number, count(k.word) AS n, coalesce(sum(CAST(contains(x.low, k.word) AS INT)), 0) AS got FROM x LEFT JOIN k USING (item_id) GROUP BY 1, 2)
+SELECT item_id, doc_id, item_id % 7 <> 0 AND item_id % 5 <> 4 AND (
+    (doc_id IN (item_id * 3, item_id * 5) AND (got > 0 OR number))
+    OR ((item_id % 4 = 0 OR item_id % 2 = doc_id % 2) AND (item_id % 5 = 3 OR item_id % 2 = 1 OR item_id % 3 = doc_id % 3)
+      AND (CASE WHEN n = 0 THEN 1 ELSE got / n END) >= 0.6 AND (item_id % 6 <> 0 OR doc_id % 4 IN (item_id % 4, 9)))) AS relevant FROM s"""
+
+
+def hybrid_search(spark, sf_dir):
+    """Passages searched for by words and by vectors at once, each passage with the vector of its own number, in chunks with tables from 2021."""
+    chunks = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    chunks = chunks.select("doc_id", "text", "embedding", F.array((2020 + F.col("doc_id") % 3).cast("int")).alias("period_years"), F.lit(None).cast("int").alias("fiscal_year"), (F.col("doc_id") % 4 != 0).alias("contains_table"))
+    queries = table(spark, sf_dir, "benchmark").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), "item_id")
+    return search.search(chunks, queries, 5, mode="hybrid", strategy="pre_filter", depth=20, item="doc_id", query="item_id", fiscal_year=2021, contains_table=True)
+
+
+_CHUNKS = "(SELECT doc_id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 3 = 1 AND doc_id % 4 <> 0) documents"
+_ASKED = "(SELECT item_id, text, embedding FROM benchmark JOIN embeddings ON vec_id = item_id) benchmark"
+HYBRID_SEARCH = f"""WITH {BM25.replace("FROM documents", f"FROM {_CHUNKS}").replace("FROM benchmark", f"FROM {_ASKED}").replace("rank <= 10", "rank <= 20")},
+v AS (SELECT item_id, doc_id, round(list_inner_product(CAST(benchmark.embedding AS DOUBLE[]), CAST(documents.embedding AS DOUBLE[])), 5) AS score FROM {_ASKED}, {_CHUNKS}),
+legs AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM v UNION ALL SELECT item_id, doc_id, rank FROM hits),
+f AS (SELECT item_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM legs WHERE rank <= 20 GROUP BY 1, 2)
+SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 5"""
 
 
 def abstention(spark, sf_dir):
     """Share of assistant turns that decline, by a wide and a narrow list of phrases."""
-    talk = table(spark, sf_dir, "conversations").filter("role = 'assistant'").withColumn("id", F.concat_ws("-", "conv_id", "turn")).dropDuplicates(["id"])
+    talk = table(spark, sf_dir, "conversations").filter("role = 'assistant'").groupBy(F.concat_ws("-", "conv_id", "turn").alias("id")).agg(F.min("text").alias("text"))
     out = metrics.abstention(talk.select("id", "text"), talk.select("id"), "id", F.col("text"), ["th", "an", "cannot"], ["cannot answer", "ntnt"])
     return out.select("questions", F.round("loose", 6).alias("loose"), F.round("strict", 6).alias("strict"))
 
 
 ABSTENTION = """SELECT count(*) AS questions, round(avg(CAST(t LIKE '%th%' OR t LIKE '%an%' OR t LIKE '%cannot%' AS DOUBLE)), 6) AS loose,
   round(avg(CAST(t LIKE '%cannot answer%' OR t LIKE '%ntnt%' AS DOUBLE)), 6) AS strict
-FROM (SELECT lower(coalesce(any_value(text), '')) AS t FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn)"""
+FROM (SELECT lower(coalesce(min(text), '')) AS t FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn)"""
 
 
 def label_shares(spark, sf_dir):
@@ -283,6 +341,8 @@ QUERIES = {
     "dense_topk_filtered_post": (dense_postfiltered, DENSE_POST),
     "hybrid_rrf": (hybrid_fusion, HYBRID),
     "ndcg_report": (ndcg_report, NDCG),
+    "hit_relevance": (hit_relevance, RELEVANCE),
+    "hybrid_search": (hybrid_search, HYBRID_SEARCH),
     "conversation_context": (conversation_context, CONTEXT),
     "abstention": (abstention, ABSTENTION),
     "label_shares": (label_shares, SHARES),

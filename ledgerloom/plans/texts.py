@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import metrics, multisets, windows
-from ledgerloom.operators.joins import small
+from ledgerloom.operators import metrics, multisets, patterns, windows
+from ledgerloom.operators.joins import checked_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -295,13 +295,15 @@ def anchors_present(spark, sf_dir):
     """Which documents hold two of three anchors of a passage."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     asked = items.select("item_id", text.anchors(F.col("text")).alias("found"))
-    words = docs.select("doc_id", text.plain_words(F.col("text")).alias("words"))
-    return words.join(small(asked), text.anchors_present(F.col("found"), F.col("words"))).select("doc_id", "item_id")
+    runs = asked.select("item_id", F.size("found").alias("n"), F.posexplode("found").alias("place", "run"))
+    runs = runs.withColumn("run_id", F.concat_ws("-", "item_id", "place"))
+    held = patterns.holding(docs, "doc_id", text.plain_words(F.col("text")), runs, "run_id", F.col("run"))
+    return checked_join(held, runs.select("run_id", "item_id", "n"), ["run_id"]).groupBy("doc_id", "item_id", "n").count().filter("count >= least(2, n)").select("doc_id", "item_id")
 
 
 ANCHORS = r"""WITH n AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents),
 p AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
-a AS (SELECT item_id, len(w) AS n, ' ' || array_to_string(w, ' ') || ' ' AS whole, ' ' || array_to_string(w[1:5], ' ') || ' ' AS a, ' ' || array_to_string(w[greatest(1, len(w) // 2 - 1) : greatest(1, len(w) // 2 - 1) + 4], ' ') || ' ' AS b,
+a AS (SELECT item_id, len(w) AS n, ' ' || array_to_string(w, ' ') || ' ' AS whole, ' ' || array_to_string(w[1:5], ' ') || ' ' AS a, ' ' || array_to_string(w[len(w) // 2 + 1 : len(w) // 2 + 5], ' ') || ' ' AS b,
       ' ' || array_to_string(w[greatest(1, len(w) - 4) : greatest(1, len(w) - 4) + 4], ' ') || ' ' AS c FROM p)
 SELECT doc_id, item_id FROM n, a WHERE CASE WHEN a.n < 5 THEN contains(t, whole) ELSE CAST(contains(t, a) AS INT) + CAST(contains(t, b) AS INT) + CAST(contains(t, c) AS INT) >= 2 END"""
 
@@ -319,8 +321,9 @@ def evidence_hits(spark, sf_dir):
     """Windows of documents that hold the first 60 characters of a passage, white space aside."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     chunks = windows.character_windows(docs.select("doc_id", "text"), ["doc_id"], "text").withColumn("squeezed", text.squeezed(F.col("content")))
-    asked = items.select("item_id", F.substring(text.squeezed(F.col("text")), 1, 60).alias("head"))
-    return chunks.join(small(asked), F.contains("squeezed", "head")).select("doc_id", "chunk_no", "item_id")
+    chunks = chunks.select(F.struct("doc_id", "chunk_no").alias("chunk"), "squeezed")
+    found = patterns.holding(chunks, "chunk", F.col("squeezed"), items, "item_id", F.substring(text.squeezed(F.col("text")), 1, 60))
+    return found.select("chunk.doc_id", "chunk.chunk_no", "item_id")
 
 
 EVIDENCE = r"""WITH w AS (SELECT doc_id, text, unnest(range(CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE CAST(ceil(greatest(length(text) - 1024, 0) / 994.0) AS BIGINT) + 1 END)) AS chunk_no FROM documents),
