@@ -165,18 +165,18 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int, item: str = "doc
     """(query, item, score, rank) of the k best by BM25, of the chunks that share a term with the query.
 
     Up to CELLS queries times terms, their weights are one matrix that every task gets; a batch of chunks is scored by a
-    product and keeps its own k best, so only these are shuffled. Beyond that, scores come from joins.
+    product and keeps its own k best, so only these are shuffled. Beyond that, scores come from joins. Null ids are left out.
     """
     chunk_tokens = text.tokens(F.col("text")) if chunk_tokens is None else chunk_tokens
     query_tokens = text.tokens(F.col("text")) if query_tokens is None else query_tokens
-    asked = queries.select(F.col(query).cast("long").alias(query), F.explode(F.array_distinct(query_tokens)).alias("term"))
+    asked = queries.filter(F.col(query).isNotNull()).select(F.col(query).cast("long").alias(query), F.explode(F.array_distinct(query_tokens)).alias("term"))
     sizes = asked.agg(F.count_distinct(query), F.count_distinct("term")).first()
     if sizes[0] * sizes[1] > CELLS:
         return ranked(lexical_scores(chunks, queries, item, query, chunk_tokens, query_tokens, digits), query, item, k)
     table = asked.distinct().toArrow()
     ids, at = np.unique(table.column(0).to_numpy(), return_inverse=True)
     terms = pc.unique(table.column(1).combine_chunks())
-    rows = chunks.select(F.col(item).cast("long").alias(item), chunk_tokens.alias("tokens"))
+    rows = chunks.filter(F.col(item).isNotNull()).select(F.col(item).cast("long").alias(item), chunk_tokens.alias("tokens"))
 
     def count(batches):
         n = size = 0
