@@ -206,20 +206,27 @@ def plain_links(rows):
     return links
 
 
-@pytest.mark.parametrize(("cap", "shard"), [(4096, 256), (40, 20)])
-def test_embeddings_against_brute_force(spark, monkeypatch, cap, shard):
-    monkeypatch.setattr(vectors.deal, "__defaults__", (cap,))
-    monkeypatch.setattr(vectors.pivots, "__defaults__", (shard, 4096))
-    rng = np.random.default_rng(7)
+def vector_rows(seed=7, groups=12):
+    rng = np.random.default_rng(seed)
     rows = []
-    for c in range(12):
+    for c in range(groups):
         centre = rng.normal(size=16)
         for _ in range(60 if c == 0 else int(rng.integers(1, 12))):
             rows.append((len(rows), (centre + rng.normal(size=16) * 0.1 * rng.random()).astype(np.float32).tolist(), c % 2))
     rows += [(len(rows) + i, rows[i][1], rows[i][2]) for i in range(8)]
     n = len(rows)
-    rows += [(n, None, 1), (n + 1, rows[0][1], None), (n + 2, [0.0] * 16, 0), (n + 3, [float("nan")] * 16, 0), (n + 4, rows[0][1][:8], 0), (n + 5, [float("inf")] + rows[0][1][1:], 0), (n + 6, [], 0)]
-    d = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, label int, component_id string")
+    return [*rows, (n, None, 1), (n + 1, rows[0][1], None), (n + 2, [0.0] * 16, 0), (n + 3, [float("nan")] * 16, 0), (n + 4, rows[0][1][:8], 0), (n + 5, [float("inf")] + rows[0][1][1:], 0), (n + 6, [], 0)]
+
+
+# pivots once, pivots within crowded clusters, tiles, and the exact way after attempts that fail
+@pytest.mark.parametrize(("cap", "shard", "goal"), [(4096, 256, 0.95), (40, 20, 0.95), (12, 6, 0.95), (40, 20, 2.0)])
+def test_embeddings_against_brute_force(spark, monkeypatch, cap, shard, goal):
+    monkeypatch.setattr(vectors.deal, "__defaults__", (cap, shard, False))
+    monkeypatch.setattr(vectors, "GOAL", goal)
+    monkeypatch.setattr(vectors, "ATTEMPTS", 1 if goal > 1 else 3)
+    rows = vector_rows()
+    n = len(rows)
+    d = spark.createDataFrame([(*r, "clash") for r in rows], f"vec_id long, embedding array<{'double' if cap == 12 else 'float'}>, label int, component_id string")
     got = {r.vec_id: r for r in vectors.near_duplicates(d).collect()}
     links = plain_links([(i, None if v is None or not v else v, k) for i, v, k in rows])
     low = {i: i for i in links}
@@ -229,10 +236,35 @@ def test_embeddings_against_brute_force(spark, monkeypatch, cap, shard):
                 low[i] = low[j] = min(low[i], low[j])
     assert sum(r.n_links for r in got.values()) >= 0.99 * sum(map(len, links.values()))
     assert all(got[i].n_links <= len(x) for i, x in links.items())
+    assert goal < 1 or all(got[i].n_links == len(x) for i, x in links.items())
     assert {i: r.component_id for i, r in got.items()} == low
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_shards_stay_of_one_size(spark, monkeypatch):
+    """Ten times the rows make about ten times the shards, none of them much larger, and no more copies of a row."""
+    rng = np.random.default_rng(3)
+    figures = []
+    for n in (2000, 20_000):
+        x = rng.normal(size=(n, 8)).astype(np.float32)
+        classes = spark.createDataFrame([("a", i, 1, v.tobytes()) for i, v in enumerate(x)], "label string, rep long, n long, raw binary")
+        monkeypatch.setattr(vectors.pivots, "__defaults__", (30, 16))
+        dealt = vectors.deal(classes, 2, cap=120, shard=30).groupBy("shard", "t1", "t2").count().collect()
+        figures.append((len(dealt) / n, max(r["count"] for r in dealt), sum(r["count"] for r in dealt) / n))
+    assert figures[1][0] <= 3 * figures[0][0] and figures[1][1] <= 3 * figures[0][1] and figures[1][2] <= 3 * figures[0][2]
+
+
+def test_audit_tells_what_it_tested(spark):
+    rows = [r for r in vector_rows() if r[0] < 80]
+    clean = vectors.clean(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).filter("raw is not null")
+    classes = clean.groupBy("label", "key").agg({"vec_id": "min", "raw": "first"}).selectExpr("label", "`min(vec_id)` as rep", "1L as n", "`first(raw)` as raw")
+    _, _, recall, tested = vectors.link(classes)
+    assert recall >= 0.95 and tested > 20
+    none = spark.createDataFrame([], "u long, linked long")
+    assert vectors.audit(classes, none)[0] == 0.0
+    assert vectors.audit(classes.limit(1), none) == (None, 0)
+
+
 def test_embeddings_edges(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert vectors.near_duplicates(spark.createDataFrame([], kind)).count() == 0
