@@ -6,7 +6,9 @@ its log odds, and in toxic documents the tokens with high odds are the toxic one
 such sequences how far to trust a token's own odds, its neighbours' and the previous state. Forward-backward marginals
 give the spans, and a logistic curve over their sum and maximum gives the score, fitted on the documents' labels.
 
-Learned from at most TRAIN_ROWS labelled rows that aren't held out; every text is scored whole.
+Learned from at most TRAIN_ROWS labelled rows that aren't held out, whole texts; of these, FIELD_ROWS of each label fit the
+field, as far as they have FIELD_TOKENS tokens together. Every text is scored whole; a text's marginals take two steps per
+token, of some microseconds, in the task that has it, and shorter texts take their steps together.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import functions as F
 from ledgerloom.llm._util import map_arrow
 from ledgerloom.llm._words import Hasher, blocks, mix, row_of, spans
 
-#: Most labelled documents to learn from, and most bytes of each such text (longer ones aren't learned from).
-TRAIN_ROWS, TRAIN_BYTES = 20_000, 200_000
-#: Most documents of each label whose tokens the field is fitted on.
-FIELD_ROWS = 400
-#: Most words and word beginnings with odds; documents that a word must be in; log odds of a token that labels it toxic.
-LEXICON, MIN_DOCS, SEED_ODDS = 20_000, 3, 2.5
+#: Most labelled documents to learn from.
+TRAIN_ROWS = 20_000
+#: Most documents of each label whose tokens the field is fitted on, and most of their tokens.
+FIELD_ROWS, FIELD_TOKENS = 400, 2_000_000
+#: Most words and word beginnings with odds.
+LEXICON = 20_000
+#: Documents that a word must be in; log odds of a token that labels it toxic.
+MIN_DOCS, SEED_ODDS = 3, 2.5
 #: Bytes of a word's beginning.
 PREFIX = 5
 #: Tokens that take their steps together.
@@ -84,10 +88,10 @@ def _marked(docs: DataFrame, ids: np.ndarray) -> DataFrame:
     """The training documents; their ids are a bounded list."""
     keys = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64())}))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.filter(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(keys), "doc_id")
+    return rows.join(F.broadcast(keys), "doc_id")
 
 
-def lexicon(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> Lexicon:
+def lexicon(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray, most: int = LEXICON) -> Lexicon:
     """Odds from the number of toxic and other training documents that each word is in."""
 
     def count(batches):
@@ -109,7 +113,7 @@ def lexicon(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> Lexicon:
     n1, n0 = int((toxic > 0).sum()), int((toxic <= 0).sum())
     counts = _marked(docs, ids).transform(map_arrow, count, "key long, toxic long, other long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (n1 - F.col("toxic") + 0.5)) - F.log((F.col("other") + 0.5) / (n0 - F.col("other") + 0.5))
-    best = counts.filter(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).filter("odds > 1").orderBy(F.desc("odds"), "key").limit(LEXICON).toArrow()
+    best = counts.filter(F.col("toxic") >= MIN_DOCS).withColumn("odds", odds).filter("odds > 1").orderBy(F.desc("odds"), "key").limit(most).toArrow()
     return Lexicon(best["key"].to_numpy().view(np.uint64), best["odds"].to_numpy())
 
 
@@ -220,12 +224,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(summary(p, first) @ self.curve, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Learn from the labelled rows of docs(doc_id, text); what reaches the driver is bounded by train_rows and LEXICON."""
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, field_rows: int = FIELD_ROWS, field_tokens: int = FIELD_TOKENS, words_kept: int = LEXICON) -> Model:
+    """Learn from at most train_rows labelled rows of docs(doc_id, text), the first by the hash of doc_id; texts count whole.
+
+    The lexicon keeps the words_kept words and beginnings of the highest odds. The field is fitted on at most field_rows
+    texts of each label, those that have field_tokens tokens together. The driver gets the tokens with odds of train_rows
+    texts. Rows that repeat a doc_id are learned from each.
+    """
     ids, toxic = training_rows(labels, train_rows)
     if not len(ids) or not (toxic > 0).any() or not (toxic <= 0).any():
         return Model(prior=float(toxic.mean()) if len(ids) else 0.0)
-    words = lexicon(docs, ids, toxic)
+    words = lexicon(docs, ids, toxic, words_kept)
     if not len(words.keys):
         return Model(prior=float((toxic > 0).mean()))
 
@@ -260,12 +269,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
         return first, word, begin
 
     order = np.argsort(mix(got["doc_id"].to_numpy().view(np.uint64)), kind="stable")
-    some = np.sort(np.concatenate([order[y[order] > 0][:FIELD_ROWS], order[y[order] == 0][:FIELD_ROWS]]))
+    some = []
+    for label in (y[order] > 0, y[order] == 0):
+        own = order[label][:field_rows]
+        some.append(own[np.cumsum(n[own]) <= field_tokens // 2] if n[own[0]] <= field_tokens // 2 else own[:1])
+    some = np.sort(np.concatenate(some))
     first, word, begin = dense(some)
     state = ((word >= SEED_ODDS) & (np.repeat(y[some], n[some]) > 0)).astype(np.int64)
     field = Field.fit(Field.features(word, begin, first).astype(float), first, state)
     seen = []
-    for part in np.array_split(np.arange(len(n)), max(1, int(n.sum()) // TOKENS)):
+    block = np.cumsum(n) // TOKENS
+    for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(block)) + 1):
         first, word, begin = dense(part)
         seen.append(summary(field.marginals(Field.features(word, begin, first), first), first))
     return Model(words, field, logistic(np.concatenate(seen), y))

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 
 from ledgerloom.llm import bpe, htmltext, langid, toxicity, vectors, warc
 
@@ -271,3 +272,95 @@ def test_embeddings_edges(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (None, [1.0, 0.0], 1), (2, [5.0, 0.01], 1), (3, [1.0, 0.0], 2)]
     got = vectors.near_duplicates(spark.createDataFrame(rows, kind)).collect()
     assert sorted(map(str, ((r.vec_id, r.n_links, r.component_id) for r in got))) == sorted(map(str, [(1, 2, 1), (1, 2, 1), (1, 0, 1), (None, 0, None), (2, 2, 1), (3, 0, 3)]))
+
+
+def test_language_scores_and_paths_against_plain(spark):
+    """Counts, candidates, scores and the best path, all by loops over words."""
+    rng = random.Random(6)
+    vocab = {"aa": ["alpha", "beta", "gamma"], "bb": ["bêta", "gammo", "delto"], "gr": ["λόγος", "και"]}
+    rows = [(i, " ".join(rng.choice(vocab[k]) for _ in range(rng.randint(1, 30))), k) for i in range(80) for k in [rng.choice(list(vocab))]]
+    rows += [(100, rows[0][1], rows[0][2]), (100, rows[0][1], rows[0][2]), (101, "alpha — “beta” … gamma", "aa"), (102, "x" * 3000 + " alpha" * 3000, "aa"), (103, "123 — …", "aa")]
+    d = spark.createDataFrame([(*r, "clash", 0.5) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    model = langid.fit(d)
+    words_in = lambda t: regex.findall(r"\p{L}+", t)
+    lower = lambda w: bytes(c + 32 if 65 <= c <= 90 else c for c in w.encode())
+    trigrams = lambda w: [bytes(x) for x in zip(b"\0" + w, w, w[1:] + b"\0", strict=False)]
+    bucket = lambda g: ((g[0] << 16 | g[1] << 8 | g[2]) * 2654435761 & 0xFFFFFFFF) >> 16
+
+    def whole(w):
+        raw = np.frombuffer(w, np.uint8)
+        h = langid.Hasher()
+        return int(h.slices(h.sums(raw), np.array([0]), np.array([len(raw)]))[0]) >> 48
+
+    grams, wholes, scripts = ({k: {} for k in vocab} for _ in range(3))
+    script = lambda w: "gr" if regex.search(r"\p{Greek}", w) else "la"
+    for i, t, k in rows:
+        if not held_out(i):
+            for w in words_in(t):
+                for b in map(bucket, trigrams(lower(w))):
+                    grams[k][b] = grams[k].get(b, 0) + 1
+                wholes[k][whole(lower(w))] = wholes[k].get(whole(lower(w)), 0) + 1
+                scripts[k][script(w)] = scripts[k].get(script(w), 0) + 1
+    log = lambda table, x: math.log(table.get(x, 0) + 0.5) - math.log(sum(table.values()) + 0.5 * langid.BUCKETS)
+
+    def plain(t):
+        best: dict = {}
+        for n, w in enumerate(words_in(t)):
+            able = [k for k in vocab if scripts[k].get(script(w), 0) >= 0.01 * sum(scripts[k].values())]
+            own = {k: sum(log(grams[k], bucket(g)) for g in trigrams(lower(w))) + log(wholes[k], whole(lower(w))) if k in able else -1e6 for k in vocab}
+            if n == 0:
+                best = {k: (v, [k]) for k, v in own.items()}
+                continue
+            top = max(sorted(vocab), key=lambda k: best[k][0])
+            best = {k: ((best[k][0], best[k][1] + [k]) if best[top][0] - langid.PENALTY <= best[k][0] else (best[top][0] - langid.PENALTY, best[top][1] + [k])) for k in vocab}
+            best = {k: (v + own[k], p) for k, (v, p) in best.items()}
+        path = max((best[k] for k in sorted(vocab)), key=lambda x: x[0])[1] if best else []
+        share = {k: sum(len(w.encode()) for w, p in zip(words_in(t), path, strict=True) if p == k) for k in sorted(vocab)}
+        return (max(share, key=share.get), max(share.values()) / sum(share.values())) if path else ("und", 0.0)
+
+    got = [(r.doc_id, r.lang_pred, r.score) for r in langid.identify(d, model).collect()]
+    for i, lang, score in got:
+        want = plain(dict((a, b) for a, b, _ in rows)[i])
+        assert (lang, score) == (want[0], pytest.approx(want[1], abs=1e-9)), i
+    assert len(got) == len(rows)
+    assert langid.kinds_of(np.array([0x1090, 0x10D0, 0x2014, 0x201C, 0xE9, 0x4E2D, 0x41F])).tolist()[2:4] == [255, 255]
+
+
+def test_toxicity_by_plain_counts(spark):
+    """Odds of words, marginals and the curve recomputed by loops; repeated rows, clashing columns, long texts and ties."""
+    rng = random.Random(8)
+    clean, bad = [f"word{i}" for i in range(40)], ["vile", "scumbag"]
+    rows, labels = [], []
+    for i in range(200):
+        w = [rng.choice(clean) for _ in range(rng.randint(3, 30))]
+        if i % 3 == 0:
+            w.insert(rng.randint(0, len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    rows += [(300, "calm " * 60_000), (301, rows[0][1]), (301, rows[0][1])]
+    d = spark.createDataFrame([(i, t, 1.0, "clash") for i, t in rows], "doc_id long, text string, score double, spans string")
+    lab = spark.createDataFrame([*labels, (300, 1, 0)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, lab)
+    train = [(i, t, label) for i, t in rows for j, _, label in [*labels, (300, 1, 0)] if i == j and not held_out(i)]
+    n1, n0 = sum(x[2] for x in train), sum(1 - x[2] for x in train)
+    odds = {}
+    for w in {w for _, t, _ in train for w in t.split()}:
+        a, b = sum(w in t.split() for _, t, y in train if y), sum(w in t.split() for _, t, y in train if not y)
+        odds[w] = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n0 - b + 0.5)) if a >= toxicity.MIN_DOCS else 0
+    hasher = toxicity.Hasher()
+    for w, o in odds.items():
+        raw = np.frombuffer(w.encode(), np.uint8)
+        _, _, _, whole, _ = toxicity._tokens(raw, np.array([0, len(raw)]), hasher)
+        assert model.words.of(whole)[0] == pytest.approx(o if o > 1 else 0, abs=1e-5)
+    got = toxicity.tag(d, model).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 301}) == 1
+    for r in got[:40]:
+        raw = np.frombuffer(dict(rows)[r.doc_id].encode(), np.uint8)
+        _, _, first, whole, begin = toxicity._tokens(raw, np.array([0, len(raw)]), hasher)
+        p = model.field.marginals(toxicity.Field.features(model.words.of(whole), model.words.of(begin), first), first)
+        total, top, n = p.sum(), p.max(initial=0), len(p)
+        z = model.curve @ [1, math.log(total + 1e-3), math.log(top + 1e-3), math.log(total / max(n, 1) + 1e-5)]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)))
+    assert next(r.score for r in got if r.doc_id == 300) < 0.5
+    bounded = toxicity.fit(d, lab, train_rows=60, field_rows=5, field_tokens=50, words_kept=4)
+    assert len(bounded.words.keys) <= 4
