@@ -1,7 +1,7 @@
 """BPE encoding and decoding by speculation: propose greedily, verify pairs, merge exactly only what fails.
 
-A tokenizer file of the `tokenizers` library with end-of-word BPE is read as data: its vocabulary, ranked merges,
-added tokens and normaliser. For words not met before, an automaton proposes the longest matching tokens from left to
+A tokenizer file of the `tokenizers` library with end-of-word BPE is read as data: its vocabulary, ranked merges and added
+tokens. Its normaliser, pre-tokeniser and decoder must be those written below; files with others are rejected. For words not met before, an automaton proposes the longest matching tokens from left to
 right. A proposal is the true encoding exactly if every token encodes to itself and every adjacent pair is compatible,
 that is, no merge across their border comes before the merges that build them; all pairs of a batch are tested at once
 over arrays by walking down the two spines at the border. Words with a failing pair go through exact merging.
@@ -37,6 +37,17 @@ LONG_WORD = 200
 END = "</w>"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
+#: Fixed values of the vocabulary files: what else they must say.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT.replace(r"\p{White_Space}", r"\s")}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
 _STOP = "\U0010fffd"  # stands for END in the automaton, where it is one character
 _NONE = np.iinfo(np.int64).max
 _WORDS = regex.compile(SPLIT)
@@ -63,6 +74,10 @@ class Codec:
         model = data["model"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != END or model["continuing_subword_prefix"] or model.get("ignore_merges"):
             raise ValueError("only BPE with an end-of-word mark and without prefixes is supported")
+        if data.get("normalizer") != NORMALIZER or data.get("pre_tokenizer") != PRE_TOKENIZER or data.get("decoder") is not None or model.get("dropout") or model.get("byte_fallback"):
+            raise ValueError("the file normalises, splits or decodes in another way than this codec")
+        if any(t[k] != v for t in data["added_tokens"] for k, v in ADDED.items()):
+            raise ValueError("only added tokens that stand for themselves in raw text are supported")
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None

@@ -1,6 +1,7 @@
 """WARC, HTML text, BPE, language, toxicity and embeddings."""
 
 import hashlib
+import json
 import math
 import random
 
@@ -88,7 +89,8 @@ def test_html_edges(spark):
 
 @pytest.fixture(scope="module")
 def codecs():
-    tokenizers = pytest.importorskip("tokenizers")
+    import tokenizers
+
     with open(bpe.default_path(), encoding="utf-8") as f:
         return bpe.Codec(f.read()), tokenizers.Tokenizer.from_file(bpe.default_path())
 
@@ -107,6 +109,20 @@ def test_bpe_against_the_library(codecs):
             assert own.decode(np.array(want, np.int64)) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_rejects_other_rules(codecs):
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        data = json.load(f)
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"decoder": {"type": "ByteLevel"}}, {"added_tokens": [data["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.Codec(json.dumps(data | change))
+
+
+def test_bpe_replaces_clashing_columns(spark, codecs):
+    d = spark.createDataFrame([(1, "some text", "clash", "clash")], "doc_id long, text string, ids string, decoded string")
+    got = bpe.decode(bpe.encode(d))
+    assert sorted(got.columns) == ["decoded", "doc_id", "ids", "text"] and got.first().decoded == "some</w> text</w>"
+
+
 def test_bpe_columns(spark, codecs):
     own, _ = codecs
     d = spark.createDataFrame([(1, "some text"), (None, None), (2, ""), (2, "")], "doc_id long, text string")
