@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._util import map_arrow, materialize
+from ledgerloom.llm._util import forget, map_arrow, materialize
 
 _PAIR = "u long, v long"
 
@@ -66,5 +66,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        edges = materialize(small, "edges")
+        edges, done = materialize(small, "edges"), edges
+        forget(done)
     raise RuntimeError(f"components haven't settled after {max_rounds} rounds")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._util import join_small, materialize, shuffle_partitions
+from ledgerloom.llm._util import forget, join_small, materialize, shuffle_partitions
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -100,7 +100,9 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every row's place in its source's stream, and the schedule."""
     rows = materialize(sizes(docs), "sizes")
     sources = materialize(targets(rows), "sources")
-    return materialize(streams(rows, sources), "placed"), materialize(schedule(sources), "schedule")
+    placed, plan = materialize(streams(rows, sources), "placed"), materialize(schedule(sources), "schedule")
+    forget(rows, sources)
+    return placed, plan
 
 
 def _taken(placed: DataFrame, plan: DataFrame) -> DataFrame:
@@ -145,6 +147,7 @@ def mixed_documents(docs: DataFrame, with_slot: bool = False) -> DataFrame:
     alike = alike.withColumn("rank", rank.cast("long")).join(plan.select("key", "rank", "slot"), ["key", "rank"])
     alike = alike.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "start", "slot", (F.col("taken") - (F.col("_pass") - 1) * F.col("size")).alias("_left"))
     alike = materialize(alike.withColumnRenamed("start", "_start").withColumnRenamed("slot", "_slot"), "order")
+    forget(placed, plan)
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     both = docs.withColumn("_words", size).join(alike.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & (key == F.col("_key")))

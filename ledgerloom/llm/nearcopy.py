@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._components import connected_components
-from ledgerloom.llm._util import join_small, map_arrow, materialize, shuffle_partitions
+from ledgerloom.llm._util import forget, join_small, map_arrow, materialize, shuffle_partitions
 from ledgerloom.llm._words import SPACE, blocks, mix, row_of, spans, word_hashes
 from ledgerloom.llm.simhash import _pairs, _runs, close_pairs, close_to, streamed
 
@@ -240,7 +240,9 @@ def _similar(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -
             keep = pa.array([jaccard(x, y) >= similarity for x, y in zip(get(2), get(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
-    return both.transform(map_arrow, run, "u long, v long")
+    links = materialize(both.transform(map_arrow, run, "u long, v long"), "links")
+    forget(ids, sets)
+    return links
 
 
 def _verified(tables: Tables, radius: int, similarity: float):
@@ -299,14 +301,16 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
     dealt = _keyed(classes, tables).repartition(n, "key").sortWithinPartitions("key")
     found = materialize(dealt.transform(map_arrow, _candidates(tables, radius, STAR), "kind int, u long, v long"), "candidates")
     pairs = found.filter("kind = 0 and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = materialize(_similar(materialize(pairs, "pairs"), docs, similarity, words), "links")
+    pairs = materialize(pairs, "pairs")
+    links = _similar(pairs, docs, similarity, words)
     parts = materialize(connected_components(links), "components")
     crowded = materialize(found.filter("kind = 1").groupBy(F.col("u").alias("key")).agg(F.sum("v").alias("n")), "crowded")
+    forget(found, pairs)
     if not crowded.isEmpty():
         again = join_small(_keyed(classes, tables), crowded, ["key"], "inner")
         again = materialize(join_small(again, parts.withColumnRenamed("node", "rep"), ["rep"]).withColumn("c", F.coalesce("component", "rep")).drop("component"), "again")
         apart = materialize(again.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "apart")
-        again = join_small(again, apart, ["key"], "inner")
+        own, again = again, join_small(again, apart, ["key"], "inner")
         ids = materialize(again.select(F.col("rep").alias("doc_id")).distinct(), "asked")
         sets = materialize(join_small(docs, ids, ["doc_id"], "inner").transform(_sets, words), "grams")
         again = again.join(sets.withColumnRenamed("id", "rep"), "rep").withColumn("tiles", F.ceil(F.col("n") / (CAP // 2)).cast("int"))
@@ -317,8 +321,11 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
         more = materialize(more, "more")
         if not more.isEmpty():
             parts = materialize(connected_components(links.unionByName(more)), "components")
+        forget(own, apart, ids, sets, more)
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("a", "b", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(materialize(named, "named"), ["a", "b"]).filter("doc_id > component_id").select("doc_id", "component_id")
+    named = materialize(named, "named")
+    forget(classes, links, parts, crowded)
+    return rows.join(named, ["a", "b"]).filter("doc_id > component_id").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:

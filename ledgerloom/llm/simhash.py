@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._components import connected_components, spanning
-from ledgerloom.llm._util import join_small, map_arrow, materialize, shuffle_partitions
+from ledgerloom.llm._util import forget, join_small, map_arrow, materialize, shuffle_partitions
 
 RADIUS = 2
 SHINGLE = 3
@@ -246,10 +246,12 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     a result; a null doc_id joins the class of its fingerprint (null if no other row has that) and makes no links.
     """
     rows = materialize(fingerprints(docs, words), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    parts = materialize(connected_components(near_links(classes.filter("rep is not null"), hot, radius)), "components")
-    classes = classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(materialize(classes, "labelled"), "fp").select("doc_id", "fp", "component_id")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    parts = materialize(connected_components(near_links(distinct.filter("rep is not null"), hot, radius)), "components")
+    classes = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    labelled = materialize(classes, "labelled")
+    forget(parts, distinct)
+    return rows.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

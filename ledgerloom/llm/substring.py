@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._util import join_listed, map_arrow, materialize, shuffle_partitions
+from ledgerloom.llm._util import forget, join_listed, map_arrow, materialize, shuffle_partitions
 from ledgerloom.llm._words import SPACE, Hasher, blocks, covered, mix, row_of, spans, word_hashes
 
 WINDOW = 50
@@ -267,7 +267,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     edges = materialize(rows.transform(map_arrow, _edges_of(window, k), _EDGE), "edges")
     met = _met_edges(edges)
-    gone = met.filter("doc > src").join(materialize(_paths(met), "paths"), ["src", "src_tag", "src_lo"])
+    paths = materialize(_paths(met), "paths")
+    gone = met.filter("doc > src").join(paths, ["src", "src_tag", "src_lo"])
     gone = gone.withColumn("_far", F.col("src_lo") - F.col("lo"))
     walk = ["doc", "tag", "src", "src_tag", "path", "_far"]
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*walk).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -279,7 +280,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     single = split.filter("kind = 0").select("b1", "b2", "doc", "tag", "lo").repartition(n, "b1", "b2").withColumn("source", F.min(F.struct("doc", "tag", "lo")).over(same)).filter("doc > source.doc")
     single = _joined(single.select("doc", "tag", "lo", F.col("source.doc").alias("src"), F.col("source.tag").alias("src_tag"), F.col("source.lo").alias("src_lo")))
     settled = edges.filter("kind = 1").select(*_SPAN).unionByName(split.filter("kind = 1").select(*_SPAN))
-    return materialize(walked.unionByName(single).unionByName(settled), "spans")
+    found = materialize(walked.unionByName(single).unionByName(settled), "spans")
+    forget(edges, met, paths, listed, split)
+    return found
 
 
 def _digest(words: list[bytes], lo: int, n: int, window: int) -> bytes | None:
@@ -314,9 +317,12 @@ def verified_spans(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> D
     where = ["src", "src_tag", "src_lo", "n"]
     asked = found.select(*where).distinct().groupBy("src").agg(F.collect_list(F.struct("src_tag", "src_lo", "n")).alias("found"))
     rows = docs.select(F.col("doc_id").cast("long").alias("src"), F.col("text").cast("string").alias("text"))
-    digests = join_listed(rows, materialize(asked, "sources"), "src", True).select("src", "text", "found").transform(map_arrow, _sources(window), "src long, src_tag int, src_lo long, n long, digest binary")
-    known = found.join(materialize(digests.filter("digest is not null").distinct(), "digests"), where)
-    return materialize(known.groupBy("doc").agg(F.collect_set(F.struct("lo", "n", "tag", "digest")).alias("found")), "listed")
+    asked = materialize(asked, "sources")
+    digests = join_listed(rows, asked, "src", True).select("src", "text", "found").transform(map_arrow, _sources(window), "src long, src_tag int, src_lo long, n long, digest binary")
+    digests = materialize(digests.filter("digest is not null").distinct(), "digests")
+    listed = materialize(found.join(digests, where).groupBy("doc").agg(F.collect_set(F.struct("lo", "n", "tag", "digest")).alias("found")), "listed")
+    forget(asked, digests)
+    return listed
 
 
 def _removed(window: int, cut: bool):
@@ -358,7 +364,10 @@ def _removed(window: int, cut: bool):
 
 
 def _found(docs: DataFrame, window: int, k: int) -> DataFrame:
-    return verified_spans(docs, repeated_spans(docs, window, k), window)
+    spans_ = repeated_spans(docs, window, k)
+    listed = verified_spans(docs, spans_, window)
+    forget(spans_)
+    return listed
 
 
 def digests(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._components import connected_components, spanning
-from ledgerloom.llm._util import join_small, map_arrow, materialize
+from ledgerloom.llm._util import forget, join_small, map_arrow, materialize
 
 RADIUS = 0.98
 #: Cosine down to which the search spreads beyond the beam.
@@ -381,10 +381,10 @@ def deal(classes: DataFrame, overlap: int, cap: int = CAP, shard: int = SHARD, e
 
     rows = classes.transform(map_arrow, assign, _CLASS + ", homes array<long>").withColumn("shard", F.explode("homes"))
     rows = materialize(rows.select("label", F.length("raw").alias("size"), "shard", "rep", "n", "raw"), "dealt")
-    if not exact:
-        rows = materialize(part(rows, overlap, cap, shard), "parts").distinct()
-    homes = rows.groupBy("rep").agg(F.array_sort(F.collect_set("shard")).alias("homes"))
-    rows = materialize(rows.join(homes, "rep"), "homes")
+    dealt = rows if exact else materialize(part(rows, overlap, cap, shard).distinct(), "parts")
+    homes = dealt.groupBy("rep").agg(F.array_sort(F.collect_set("shard")).alias("homes"))
+    rows, done = materialize(dealt.join(homes, "rep"), "homes"), rows
+    forget(done, dealt)
     full = materialize(rows.groupBy("shard").count().filter(F.col("count") > cap), "full")
     rows = join_small(rows, full.select("shard", F.ceil(F.col("count") / (cap // 2)).cast("int").alias("tiles")), ["shard"])
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), F.coalesce("tiles", F.lit(1))).cast("int"))
@@ -433,7 +433,8 @@ def link(classes: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, DataFra
     beam, overlap = BEAM, OVERLAP
     for attempt in range(ATTEMPTS + 1):
         exact = attempt == ATTEMPTS
-        members = materialize(deal(classes, overlap, exact=exact), "members")
+        dealt = deal(classes, overlap, exact=exact)
+        members = materialize(dealt, "members")
         keys = ["label", "size", "shard", "t1", "t2"]
         if exact:
             joined = members.withColumn("near", F.array().cast("array<long>"))
@@ -444,8 +445,10 @@ def link(classes: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, DataFra
         found = materialize(joined.groupBy(*keys).applyInArrow(_links(beam, radius, exact), "kind int, u long, v long"), "found")
         counts = found.filter("kind = 0").groupBy("u").agg(F.sum("v").alias("linked"))
         recall, tested = (1.0, 0) if exact else audit(classes, counts, radius)
+        forget(members)
         if recall is None or recall >= GOAL:
             break
+        forget(found)
         beam, overlap = 2 * beam, overlap + 2
     return counts, found.filter("kind = 1").select("u", "v"), recall, tested
 
