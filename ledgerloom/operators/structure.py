@@ -12,8 +12,10 @@ from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as text_functions
 from ledgerloom.functions import vocab
 
 BLOCK = "document_id string, pdf_page int, block_no int, kind string, block_id string, table_id string, level int, text string, code string, title string, headers array<string>, rows array<array<string>>"
@@ -31,6 +33,21 @@ _CONTINUED = re.compile(vocab.CONTINUED_HEADING, re.I)
 _FOOTNOTE = re.compile(r"^\s*(?:" + "|".join(vocab.FOOTNOTE_FORMS) + ")", re.I)
 
 
+def fiscal_calendar(blocks: DataFrame, cover_pages: int = 4, pages: int = 15, longest: int = 200) -> DataFrame:
+    """(document_id, suffix): the end of each document's fiscal year as -MM-DD, null if it doesn't say.
+
+    blocks(document_id, pdf_page, block_no, text). First the words of the cover on one of the first pages, all of a page's
+    blocks read as one text; else those of a statement's heading in a short block of the first 15 pages. The first in order.
+    """
+    place = F.dense_rank().over(Window.partitionBy("document_id").orderBy("pdf_page"))
+    rows = blocks.withColumn("place", place).filter(F.col("place") <= pages)
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda b: F.coalesce(b["text"], F.lit(""))), " ")
+    cover = rows.filter(F.col("place") <= cover_pages).groupBy("document_id", "place").agg(ordered.alias("text")).select("document_id", F.lit(1).alias("tier"), "place", F.lit(0).alias("block_no"), text_functions.fiscal_suffix(F.col("text")).alias("suffix"))
+    heads = rows.filter(F.length("text") <= longest).select("document_id", F.lit(2).alias("tier"), "place", "block_no", text_functions.fiscal_suffix(F.col("text"), cover=False).alias("suffix"))
+    found = cover.unionByName(heads).filter("suffix is not null").groupBy("document_id").agg(F.min_by("suffix", F.struct("tier", "place", "block_no")).alias("suffix"))
+    return blocks.select("document_id").distinct().join(found, "document_id", "left")
+
+
 def split_cells(line: str) -> list[str]:
     """Trimmed cells of a pipe row; escaped pipes stay."""
     body = line.strip()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import metrics, multisets, patterns, windows
+from ledgerloom.operators import metrics, multisets, patterns, structure, windows
 from ledgerloom.operators.joins import checked_join
 
 
@@ -332,7 +332,46 @@ p AS (SELECT item_id, substring(regexp_replace(lower(text), '\s+', '', 'g'), 1,
 SELECT doc_id, chunk_no, item_id FROM c, p WHERE contains(s, head)"""
 
 
+def retrieval_texts(spark, sf_dir):
+    """What is embedded of each document: a text for retrieval where it has one that isn't blank."""
+    own = F.when(F.col("doc_id") % 3 == 0, F.lit(" \n ")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" Title: "), F.substring("text", 1, 40), F.lit("\n")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.retrieval_text(own, F.col("text")).alias("t"))
+    return rows.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
+
+
+RETRIEVAL = r"""WITH t AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 1 THEN ' Title: ' || substring(text, 1, 40) || chr(10) ELSE coalesce(text, '') END, '^\s+|\s+$', '', 'g') AS t FROM documents)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest FROM t"""
+
+
+def same_ids(spark, sf_dir):
+    """Orders whose line numbers are exactly the numbers from 1 to their count, repeats and order aside."""
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_linenumber").cast("string")).alias("given"), F.count("*").alias("n"))
+    wanted = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("n") - F.col("l_orderkey") % 2).cast("int"))), lambda x: x.cast("string"))
+    return line.select("l_orderkey", text.same_ids(F.col("given"), wanted).alias("same"))
+
+
+SAME_IDS = """SELECT l_orderkey, list_sort(list_distinct(list(CAST(l_linenumber AS BIGINT)))) = range(1, greatest(1, count(*) - l_orderkey % 2) + 1) AS same FROM lineitem GROUP BY 1"""
+
+_COVER, _HEAD = "Form 10-K for the fiscal year ended September 28, 2024", "Consolidated statements, years ended January 6, 2025 and 2024"
+
+
+def fiscal_calendar(spark, sf_dir):
+    """Fiscal year ends of filings made from each customer's orders: pages that are covers, statements or long prose."""
+    k = F.col("o_orderkey")
+    body = F.when(k % 5 == 0, F.lit(_COVER)).when(k % 5 == 1, F.lit(_HEAD)).when(k % 5 == 2, F.concat(F.lit(_HEAD), F.repeat(F.lit(" and more"), 30))).otherwise(F.lit("Nothing of note."))
+    blocks = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("document_id"), k.alias("pdf_page"), F.lit(1).alias("block_no"), body.alias("text"))
+    return structure.fiscal_calendar(blocks)
+
+
+CALENDAR = """WITH b AS (SELECT CAST(o_custkey AS VARCHAR) AS document_id, o_orderkey % 5 AS k, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders),
+c AS (SELECT *, CASE WHEN place > 15 THEN NULL WHEN k = 0 AND place <= 4 THEN 0 WHEN k IN (0, 1) THEN 100 END + place AS rank FROM b)
+SELECT document_id, CASE arg_min(k, rank) WHEN 0 THEN '-09-28' WHEN 1 THEN '-01-06' END AS suffix FROM c GROUP BY 1"""
+
+
 QUERIES = {
+    "retrieval_texts": (retrieval_texts, RETRIEVAL),
+    "same_ids": (same_ids, SAME_IDS),
+    "fiscal_calendar": (fiscal_calendar, CALENDAR),
     "doc_token_multiset": (doc_token_multiset, f"SELECT doc_id, token, count(*) AS cnt FROM (SELECT doc_id, unnest({TOKENS}) AS token FROM documents) GROUP BY 1, 2"),
     "number_multiset": (number_multiset, NUMBERS),
     "number_classes": (number_classes, CLASSES),

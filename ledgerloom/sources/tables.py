@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -255,3 +256,46 @@ def export_review(hits: DataFrame, path: str, limit: int = 1000) -> None:
     """The first hits to be looked at by hand, one Markdown section each; `limit` is the report's length."""
     row = F.format_string("## %s\n\nrank %s, score %s\n\n%s\n", F.col("query").cast("string"), F.col("rank").cast("string"), F.col("score").cast("string"), F.col("content"))
     hits.orderBy("query", "rank").limit(limit).select(row.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def halved(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """vectors with the column as bytes of half floats, in which caches keep them; `restored` gives single floats back."""
+    return _recoded(vectors, column, T.BinaryType(), lambda x: np.array(x, np.float32).astype("<f2").tobytes(), pa.binary())
+
+
+def restored(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """vectors with a column of half floats as an array of single floats; null stays null."""
+    return _recoded(vectors, column, T.ArrayType(T.FloatType()), lambda x: np.frombuffer(x, "<f2").astype(np.float32), pa.list_(pa.float32()))
+
+
+def _recoded(df: DataFrame, column: str, kind: T.DataType, code, arrow: pa.DataType) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            new = pa.array([None if x is None else code(x) for x in b.column(column).to_pylist()], arrow)
+            yield pa.RecordBatch.from_arrays([new if n == column else b.column(n) for n in b.schema.names], b.schema.names)
+
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, kind) if f.name == column else f for f in df.schema.fields]))
+
+
+def encode_cached(texts: DataFrame, cache: DataFrame, model: str, encoder, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(vectors, new): the vector of every distinct text by the model, and the rows to append to the cache.
+
+    cache(key, embedding) is keyed by `model::text`, so vectors of different models don't mix; only texts that it lacks are
+    encoded, each once. Null texts have no vector.
+    """
+    asked = texts.select(F.col(text).alias("text")).filter("text is not null").distinct().withColumn("key", F.concat(F.lit(f"{model}::"), "text"))
+    known = cache.groupBy("key").agg(F.first("embedding").alias("embedding"))
+    new = encode_texts(asked.join(known, "key", "left_anti"), "text", encoder)
+    held = asked.join(known, "key").select("text", "key", "embedding")
+    return held.unionByName(new.select("text", "key", "embedding")), new.select("key", "embedding")
+
+
+def write_store(points: DataFrame, path: str) -> None:
+    """Points of all documents in one table by document: the shared store, of which each document is a single one."""
+    points.repartition("document_id").write.mode("overwrite").partitionBy("document_id").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str, document_id: str | None = None) -> DataFrame:
+    """The shared store, or the single store of one document, of which only its own folder is read."""
+    store = spark.read.option("recursiveFileLookup", False).parquet(path).withColumn("document_id", F.col("document_id").cast("string"))
+    return store if document_id is None else store.filter(F.col("document_id") == document_id)
