@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators import windows
+
 PAGES = "document_id string, pdf_page int, raw_text string"
 
 
@@ -55,24 +58,63 @@ def read_pages(spark: SparkSession, path: str, first: int | None = None, last: i
     return files.mapInArrow(run, PAGES)
 
 
-def with_fallback(adapters: list[Callable[[str], str | None]], attempts: int = 3) -> Callable[[str], str | None]:
-    """One adapter of several: each is tried `attempts` times while it raises ConnectionError, then the next; null if none answers."""
+class ServiceError(RuntimeError):
+    """A service's answer that is no success; adapters raise it with the HTTP status."""
+
+    def __init__(self, status: int, message: str = ""):
+        super().__init__(f"HTTP {status} {message}".strip())
+        self.status = status
+
+
+#: States of a service that pass, so that asking again may help.
+PASSING = (429, 500, 502, 503, 504)
+
+
+def with_fallback(adapters: list[Callable[[str], str | None]], attempts: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:
+    """One adapter of several: the first that answers; null if none does.
+
+    An adapter is asked up to `attempts` times while it gives no text or raises ConnectionError, TimeoutError or a
+    ServiceError that passes, with pauses of wait, wait squared and so on; after any other ServiceError the next adapter is
+    asked at once. Other errors are the caller's.
+    """
 
     def call(request: str) -> str | None:
         for adapter in adapters:
-            for _ in range(attempts):
+            for attempt in range(1, attempts + 1):
                 try:
                     answer = adapter(request)
-                except ConnectionError:
-                    continue
-                if answer is not None:
-                    return answer
-                break
+                    if answer is not None and answer.strip():
+                        return answer
+                except (ConnectionError, TimeoutError):
+                    pass
+                except ServiceError as error:
+                    if error.status not in PASSING:
+                        break
+                if attempt < attempts:
+                    sleep(wait**attempt)
         return None
 
     return call
 
 
+def apply_by_runs(pages: DataFrame, engine: Callable[[str, int, int], dict[int, str]], out: str = "markdown", deepest: int = 6) -> DataFrame:
+    """pages with what a layout engine makes of them: it is called once for each run of consecutive pages of a document.
+
+    pages(document_id, pdf_page, ...), engine(document_id, first, last) gives texts by page, null where it has none.
+    Headings of more than `deepest` marks are cut to that level.
+    """
+    runs = windows.contiguous_runs(pages.select("document_id", "pdf_page").distinct(), ["document_id"], "pdf_page")
+
+    def run(batches):
+        for b in batches:
+            rows = [(d, p, t) for d, first, last in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for p, t in sorted(engine(d, first, last).items()) if first <= p <= last]
+            clamp = lambda t: None if t is None else re.sub(rf"(?m)^#{{{deepest + 1},}}(?=\s)", "#" * deepest, t)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([clamp(r[2]) for r in rows], pa.string())], ["document_id", "_page", out])
+
+    found = runs.select("document_id", F.col("first").cast("int"), F.col("last").cast("int")).mapInArrow(run, f"document_id string, _page int, {out} string")
+    return pages.drop(out).join(found.withColumnRenamed("_page", "pdf_page"), ["document_id", "pdf_page"], "left")
+
+
 def apply_adapter(df: DataFrame, column: str, adapter: Callable[[str], str | None], out: str) -> DataFrame:
     """df with the adapter's answer for each value of a column; an external model plugs in here, Arrow batch by batch."""
     names = [c for c in df.columns if c != out]

@@ -176,6 +176,13 @@ def test_sources(spark, tmp_path):
     assert store.read_chunks(spark, str(tmp_path / "c"), "chunk_id string, method string, content string").count() == 2
 
 
+def test_layout_engine_by_runs(spark):
+    pages = spark.createDataFrame([("d", n, f"raw{n}") for n in (1, 2, 3, 7, 8)] + [("e", 1, "x")], "document_id string, pdf_page int, raw_text string")
+    engine = lambda d, first, last: {p: f"####### {d} {first}-{last}\n# {p}" for p in range(first, last + 2) if p != 8}
+    got = {(r.document_id, r.pdf_page): r.markdown for r in store.apply_by_runs(pages, engine).collect()}
+    assert got == {("d", p): f"###### d 1-3\n# {p}" for p in (1, 2, 3)} | {("d", 7): "###### d 7-8\n# 7", ("d", 8): None, ("e", 1): "###### e 1-1\n# 1"}
+
+
 def test_adapters(spark):
     calls = []
 
@@ -183,7 +190,26 @@ def test_adapters(spark):
         calls.append(x)
         raise ConnectionError
 
-    assert store.with_fallback([broken, lambda x: None, lambda x: x.upper()])("q") == "Q" and len(calls) == 3
+    def answers(*given):
+        left = list(given)
+
+        def adapter(x):
+            calls.append(x)
+            got = left.pop(0)
+            if isinstance(got, Exception):
+                raise got
+            return got
+
+        return adapter
+
+    pauses = []
+    call = lambda *adapters: store.with_fallback(list(adapters), sleep=pauses.append)("q")
+    assert call(broken, lambda x: None, lambda x: x.upper()) == "Q" and len(calls) == 3 and pauses == [2.0, 4.0, 2.0, 4.0]
+    calls.clear()
+    assert call(answers(store.ServiceError(429), " ", "yes")) == "yes" and len(calls) == 3
+    calls.clear()
+    assert call(answers(store.ServiceError(401)), answers("b")) == "b" and len(calls) == 2
+    assert call(answers(*[store.ServiceError(503)] * 3)) is None
     df = spark.createDataFrame([("a",), (None,)], "q string")
     assert sorted(str(r.answer) for r in store.apply_adapter(df, "q", lambda x: x * 2, "answer").collect()) == ["None", "aa"]
 
