@@ -44,17 +44,17 @@ def _contract(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in spanning(u, v)], ["u", "v"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """(node, component): for each node of edges(u, v), the smallest node that it is connected with.
 
     Edges with a null end and loops are left out; a node without other edges isn't in the result. Every round keeps
     only edges, aggregates minima before it shuffles, and is written to the shared folder, so a lost executor costs
     one round at most. Raises RuntimeError if the graph hasn't settled after max_rounds (the number of rounds grows
-    with the logarithm of the longest path).
+    with the logarithm of the longest path). rows: of edges, if known.
     """
     edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v")
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).transform(map_arrow, _contract, _PAIR)
-    edges = materialize(edges.distinct(), "edges")
+    edges = materialize(edges.distinct(), "edges", rows)
     before = None
     for _ in range(max_rounds):
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
@@ -66,6 +66,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        edges, done = materialize(small, "edges"), edges
+        edges, done = materialize(small, "edges", 2 * state[0]), edges
         forget(done)
     raise RuntimeError(f"components haven't settled after {max_rounds} rounds")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Bytes of an Arrow batch that goes to a Python worker, so that long texts don't pile up there.
 BATCH_BYTES = "4m"
+#: Rows for which a table takes another file.
+FILE_ROWS = 50_000
 #: Copies of each row of the smaller side when a join is salted.
 SALTS = 16
 
@@ -30,9 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors. See `forget`."""
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors. See `forget`.
+
+    rows: what the last step goes through at most, if known; small tables then take a task and a file for each FILE_ROWS
+    of them at most, instead of one for each shuffle partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/ledgerloom/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -72,7 +72,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     points = points.withColumn("point", F.explode(F.expr(f"sequence(greatest(begin, part * {CHUNK}), least(end, (part + 1) * {CHUNK}) - 1)")))
     slot = F.conv(F.reverse(F.lpad(F.bin("point"), bits, "0")), 2, 10).cast("long")
     owned = points.withColumn("slot", slot).withColumn("chunk", F.expr(f"slot div {CHUNK}"))
-    owned = materialize(owned.select("slot", "chunk", "key", "slots", "block", "n_blocks", "passes", "rest", "source_size"), "slots")
+    owned = materialize(owned.select("slot", "chunk", "key", "slots", "block", "n_blocks", "passes", "rest", "source_size"), "slots", int(total))
     counts = owned.groupBy("key", "chunk").count()
     earlier = F.coalesce(F.sum("count").over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = owned.join(counts.withColumn("earlier", earlier).drop("count"), ["key", "chunk"])
@@ -99,8 +99,9 @@ def streams(rows: DataFrame, sources: DataFrame) -> DataFrame:
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every row's place in its source's stream, and the schedule."""
     rows = materialize(sizes(docs), "sizes")
-    sources = materialize(targets(rows), "sources")
-    placed, plan = materialize(streams(rows, sources), "placed"), materialize(schedule(sources), "schedule")
+    size = rows.count()
+    sources = materialize(targets(rows), "sources", size)
+    placed, plan = materialize(streams(rows, sources), "placed", size), materialize(schedule(sources), "schedule", size)
     forget(rows, sources)
     return placed, plan
 
@@ -146,7 +147,7 @@ def mixed_documents(docs: DataFrame, with_slot: bool = False) -> DataFrame:
     rank = (F.col("_pass") - 1) * F.ceil(F.col("source_size") / F.col("block")) + F.expr("start div block")
     alike = alike.withColumn("rank", rank.cast("long")).join(plan.select("key", "rank", "slot"), ["key", "rank"])
     alike = alike.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "start", "slot", (F.col("taken") - (F.col("_pass") - 1) * F.col("size")).alias("_left"))
-    alike = materialize(alike.withColumnRenamed("start", "_start").withColumnRenamed("slot", "_slot"), "order")
+    alike = materialize(alike.withColumnRenamed("start", "_start").withColumnRenamed("slot", "_slot"), "order", 2 * docs.count())
     forget(placed, plan)
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))

@@ -228,7 +228,7 @@ def _kinds(kind: int, u, v) -> pa.RecordBatch:
 
 def _similar(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
     """Those of pairs(u, v) whose texts have the similarity; the pairs of a frequent u are dealt over SALTS parts."""
-    ids = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct().withColumn("_asked", F.lit(True)), "asked")
+    ids = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct().withColumn("_asked", F.lit(True)), "asked", 2 * pairs.count())
     sets = materialize(join_small(docs, ids, ["doc_id"], "inner").select("doc_id", "text").transform(_sets, words), "grams")
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     left = salted.select("u", "salt").distinct().join(sets.select(F.col("id").alias("u"), F.col("grams").alias("left")), "u")
@@ -240,7 +240,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -
             keep = pa.array([jaccard(x, y) >= similarity for x, y in zip(get(2), get(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
-    links = materialize(both.transform(map_arrow, run, "u long, v long"), "links")
+    links = materialize(both.transform(map_arrow, run, "u long, v long"), "links", pairs.count())
     forget(ids, sets)
     return links
 
@@ -296,39 +296,41 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     rows = materialize(_fingerprinted(docs, words), "fingerprinted")
-    classes = materialize(rows.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "classes")
-    tables, radius, n = Tables(classes.count(), similarity), radius_of(similarity), shuffle_partitions(docs.sparkSession)
+    classes = materialize(rows.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "classes", rows.count())
+    size = classes.count()
+    tables, radius, n = Tables(size, similarity), radius_of(similarity), shuffle_partitions(docs.sparkSession)
     dealt = _keyed(classes, tables).repartition(n, "key").sortWithinPartitions("key")
-    found = materialize(dealt.transform(map_arrow, _candidates(tables, radius, STAR), "kind int, u long, v long"), "candidates")
+    found = materialize(dealt.transform(map_arrow, _candidates(tables, radius, STAR), "kind int, u long, v long"), "candidates", size * tables.count)
     pairs = found.filter("kind = 0 and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(pairs, "pairs", found.count())
     links = _similar(pairs, docs, similarity, words)
-    parts = materialize(connected_components(links), "components")
-    crowded = materialize(found.filter("kind = 1").groupBy(F.col("u").alias("key")).agg(F.sum("v").alias("n")), "crowded")
+    parts = materialize(connected_components(links, rows=links.count()), "components", size)
+    crowded = materialize(found.filter("kind = 1").groupBy(F.col("u").alias("key")).agg(F.sum("v").alias("n")), "crowded", size)
     forget(found, pairs)
     if not crowded.isEmpty():
         again = join_small(_keyed(classes, tables), crowded, ["key"], "inner")
         again = materialize(join_small(again, parts.withColumnRenamed("node", "rep"), ["rep"]).withColumn("c", F.coalesce("component", "rep")).drop("component"), "again")
-        apart = materialize(again.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "apart")
+        apart = materialize(again.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "apart", again.count())
         own, again = again, join_small(again, apart, ["key"], "inner")
-        ids = materialize(again.select(F.col("rep").alias("doc_id")).distinct(), "asked")
+        ids = materialize(again.select(F.col("rep").alias("doc_id")).distinct(), "asked", size)
         sets = materialize(join_small(docs, ids, ["doc_id"], "inner").transform(_sets, words), "grams")
         again = again.join(sets.withColumnRenamed("id", "rep"), "rep").withColumn("tiles", F.ceil(F.col("n") / (CAP // 2)).cast("int"))
         again = again.withColumn("tiles", F.when(F.col("n") > CAP, F.col("tiles")).otherwise(1)).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
         again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         again = again.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "rep", "c", "fp", "grams")
         more = again.repartition(n, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2").transform(map_arrow, _verified(tables, radius, similarity), "u long, v long")
-        more = materialize(more, "more")
+        more = materialize(more, "more", 8 * own.count())
         if not more.isEmpty():
-            parts = materialize(connected_components(links.unionByName(more)), "components")
+            both = links.unionByName(more)
+            parts = materialize(connected_components(both, rows=both.count()), "components", size)
         forget(own, apart, ids, sets, more)
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("a", "b", F.coalesce("component", "rep").alias("component_id"))
-    named = materialize(named, "named")
+    named = materialize(named, "named", size)
     forget(classes, links, parts, crowded)
     return rows.join(named, ["a", "b"]).filter("doc_id > component_id").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE) -> DataFrame:
     """docs without the near copies: of each group only the rows with its smallest doc_id; all columns stay, and so do rows with a null doc_id."""
-    found = near_copies(docs, similarity, words).select(F.col("doc_id").alias("_copy")).distinct()
+    found = near_copies(docs, similarity, words).select(F.col("doc_id").alias("_copy")).distinct().coalesce(shuffle_partitions(docs.sparkSession) // 8 + 1)
     return join_small(docs.withColumn("_copy", F.col("doc_id").cast("long")), materialize(found, "copies"), ["_copy"], "left_anti").drop("_copy")

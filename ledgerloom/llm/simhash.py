@@ -227,7 +227,7 @@ def near_links(classes: DataFrame, hot: int = HOT, radius: int = RADIUS) -> Data
     pairs = list(combinations(range(4), 2))
     # each key carries its own number, so that a split key knows which 32 bits it has left
     keyed = classes.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), k.alias("key")) for n, k in enumerate(_keys(F.col("fp"), 0, 16, [0, 1, 2, 3]))])).alias("k")).select("fp", "rep", "k.n", "k.key")
-    crowded = materialize(keyed.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("crowded")), "crowded")
+    crowded = materialize(keyed.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("crowded")), "crowded", 6 * classes.count())
     keyed = join_small(keyed, crowded, ["key"])
     sub = F.lit(None).cast("array<long>")
     for n, pair in enumerate(pairs):
@@ -246,10 +246,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     a result; a null doc_id joins the class of its fingerprint (null if no other row has that) and makes no links.
     """
     rows = materialize(fingerprints(docs, words), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    parts = materialize(connected_components(near_links(distinct.filter("rep is not null"), hot, radius)), "components")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes", rows.count())
+    parts = materialize(connected_components(near_links(distinct.filter("rep is not null"), hot, radius)), "components", distinct.count())
     classes = distinct.join(parts, distinct["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    labelled = materialize(classes, "labelled")
+    labelled = materialize(classes, "labelled", distinct.count())
     forget(parts, distinct)
     return rows.join(labelled, "fp").select("doc_id", "fp", "component_id")
 

@@ -237,7 +237,7 @@ def _met_edges(edges: DataFrame) -> DataFrame:
     several = (F.min("b1").over(key) < F.max("b1").over(key)) | (F.min("b2").over(key) < F.max("b2").over(key))
     rows = rows.withColumn("branches", several & (F.min("doc").over(key) < F.max("doc").over(key)))
     rows = rows.filter("repeats or branches").select("b1", "doc", "tag", "lo", "n", "before", "after", "repeats", "branches", F.col("source.doc").alias("src"), F.col("source.tag").alias("src_tag"), F.col("source.lo").alias("src_lo"))
-    return materialize(rows, "met")
+    return materialize(rows, "met", edges.filter("kind = 0").count())
 
 
 def _paths(met: DataFrame) -> DataFrame:
@@ -267,20 +267,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     edges = materialize(rows.transform(map_arrow, _edges_of(window, k), _EDGE), "edges")
     met = _met_edges(edges)
-    paths = materialize(_paths(met), "paths")
+    n_met = met.count()
+    paths = materialize(_paths(met), "paths", n_met)
     gone = met.filter("doc > src").join(paths, ["src", "src_tag", "src_lo"])
     gone = gone.withColumn("_far", F.col("src_lo") - F.col("lo"))
     walk = ["doc", "tag", "src", "src_tag", "path", "_far"]
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*walk).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     walked = gone.withColumn("_run", F.col("lo") - before).groupBy(*walk, "_run").agg(F.min("lo").alias("lo"), F.sum("n").alias("n")).withColumn("src_lo", F.col("lo") + F.col("_far")).select(*_SPAN)
     asked = met.filter("branches and doc = src").select("doc", "lo", "n", "tag").unionByName(edges.filter("kind = 2").select("doc", "lo", "n", "tag")).distinct()
-    listed = materialize(asked.groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "tag")).alias("found")), "asked")
+    listed = materialize(asked.groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "tag")).alias("found")), "asked", n_met + edges.count())
     split = materialize(join_listed(rows, listed, "doc", True).select("doc", "text", "found").transform(map_arrow, _windows_of(window), _EDGE), "windows")
     same = Window.partitionBy("b1", "b2")
     single = split.filter("kind = 0").select("b1", "b2", "doc", "tag", "lo").repartition(n, "b1", "b2").withColumn("source", F.min(F.struct("doc", "tag", "lo")).over(same)).filter("doc > source.doc")
     single = _joined(single.select("doc", "tag", "lo", F.col("source.doc").alias("src"), F.col("source.tag").alias("src_tag"), F.col("source.lo").alias("src_lo")))
     settled = edges.filter("kind = 1").select(*_SPAN).unionByName(split.filter("kind = 1").select(*_SPAN))
-    found = materialize(walked.unionByName(single).unionByName(settled), "spans")
+    found = materialize(walked.unionByName(single).unionByName(settled), "spans", 2 * n_met + edges.count() + split.count())
     forget(edges, met, paths, listed, split)
     return found
 
@@ -317,10 +318,11 @@ def verified_spans(docs: DataFrame, found: DataFrame, window: int = WINDOW) -> D
     where = ["src", "src_tag", "src_lo", "n"]
     asked = found.select(*where).distinct().groupBy("src").agg(F.collect_list(F.struct("src_tag", "src_lo", "n")).alias("found"))
     rows = docs.select(F.col("doc_id").cast("long").alias("src"), F.col("text").cast("string").alias("text"))
-    asked = materialize(asked, "sources")
+    size = found.count()
+    asked = materialize(asked, "sources", size)
     digests = join_listed(rows, asked, "src", True).select("src", "text", "found").transform(map_arrow, _sources(window), "src long, src_tag int, src_lo long, n long, digest binary")
-    digests = materialize(digests.filter("digest is not null").distinct(), "digests")
-    listed = materialize(found.join(digests, where).groupBy("doc").agg(F.collect_set(F.struct("lo", "n", "tag", "digest")).alias("found")), "listed")
+    digests = materialize(digests.filter("digest is not null").distinct(), "digests", size)
+    listed = materialize(found.join(digests, where).groupBy("doc").agg(F.collect_set(F.struct("lo", "n", "tag", "digest")).alias("found")), "listed", size)
     forget(asked, digests)
     return listed
 

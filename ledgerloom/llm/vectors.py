@@ -339,7 +339,7 @@ def part(rows: DataFrame, overlap: int, cap: int = CAP, shard: int = SHARD) -> D
     A crowded shard of m members gets m / `shard` pivots, sampled by hash; members are dealt to them in pieces of about
     `cap`, each of which meets all of the shard's pivots.
     """
-    full = materialize(rows.groupBy("shard").agg(F.count("*").alias("m")).filter(F.col("m") > cap), "crowded")
+    full = materialize(rows.groupBy("shard").agg(F.count("*").alias("m")).filter(F.col("m") > cap), "crowded", rows.count())
     if full.isEmpty():
         return rows
     marked = join_small(rows, full, ["shard"])
@@ -385,7 +385,7 @@ def deal(classes: DataFrame, overlap: int, cap: int = CAP, shard: int = SHARD, e
     homes = dealt.groupBy("rep").agg(F.array_sort(F.collect_set("shard")).alias("homes"))
     rows, done = materialize(dealt.join(homes, "rep"), "homes"), rows
     forget(done, dealt)
-    full = materialize(rows.groupBy("shard").count().filter(F.col("count") > cap), "full")
+    full = materialize(rows.groupBy("shard").count().filter(F.col("count") > cap), "full", rows.count())
     rows = join_small(rows, full.select("shard", F.ceil(F.col("count") / (cap // 2)).cast("int").alias("tiles")), ["shard"])
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), F.coalesce("tiles", F.lit(1))).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
@@ -465,18 +465,19 @@ def near_duplicates(embeddings: DataFrame, radius: float = RADIUS) -> DataFrame:
     rows = materialize(clean(embeddings), "rows")
     classes = rows.filter("raw is not null").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw"))
     # rows that repeat a vec_id with other vectors need representatives of their own, which are then told apart below zero
-    classes = materialize(classes, "grouped")
+    size = rows.count()
+    classes = materialize(classes, "grouped", size)
     twice = classes.groupBy("rep").count().filter("count > 1").select("rep", F.lit(True).alias("twice"))
-    classes = join_small(classes, materialize(twice, "twice"), ["rep"])
+    classes = join_small(classes, materialize(twice, "twice", size), ["rep"])
     own = F.when(F.col("twice"), -1 - F.shiftrightunsigned(F.xxhash64("label", "key"), 2)).otherwise(F.col("rep"))
-    classes = materialize(classes.select("label", own.alias("rep"), "n", "raw", "key", F.col("rep").alias("least")), "classes")
+    classes = materialize(classes.select("label", own.alias("rep"), "n", "raw", "key", F.col("rep").alias("least")), "classes", size)
     counts, edges, _, _ = link(classes.select("label", "rep", "n", "raw"), radius)
-    parts = materialize(connected_components(edges), "parts")
+    parts = materialize(connected_components(edges), "parts", size)
     figures = classes.join(counts, classes["rep"] == counts["u"], "left").join(parts, F.col("rep") == parts["node"], "left")
     figures = figures.withColumn("part", F.coalesce("component", "rep"))
     least = figures.groupBy("part").agg(F.min("least").alias("component_id"))
     figures = figures.join(least, "part").select(F.col("label").alias("_label"), F.col("key").alias("_key"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    figures = materialize(figures, "figures")
+    figures = materialize(figures, "figures", size)
     out = rows.select("vec_id", "label", "key").join(figures, F.col("label").eqNullSafe(F.col("_label")) & (F.col("key") == F.col("_key")), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
