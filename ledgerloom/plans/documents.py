@@ -77,24 +77,21 @@ def _chunks(method):
     return run
 
 
-_ANSWERS = [
-    ("The margin was 12.5 percent", "12.5%", "Correct"),
-    ("about 0.125", "12.5", "Correct"),
-    ("It rose to $1,577 million in 2018", "$1577.00", "Correct"),
-    ("I cannot answer, the context does not contain it", "Yes, it grew", "Refusal"),
-    ("Yes, sales grew because of strong demand", "Yes. Sales grew on demand", "Correct"),
-    ("It fell by a half", "It was flat over the quarter", "Incorrect"),
-]
-
-
 def answer_labels(spark, sf_dir):
-    """Labels of answers that go round over the orders."""
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(g).alias("g")) for a, g, _ in _ANSWERS])
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(rows, (F.col("o_orderkey") % len(_ANSWERS) + 1).cast("int")).alias("x"))
-    return o.select("o_orderkey", relevance.answer_class(F.col("x.a"), F.col("x.g")).alias("label"))
-
-
-ANSWERS = "SELECT o_orderkey, ([" + ", ".join(f"'{x[2]}'" for x in _ANSWERS) + f"])[o_orderkey % {len(_ANSWERS)} + 1] AS label FROM orders"
+    """Labels of answers made from line items: amounts alike, off, or as percentages, sentences in common, and refusals."""
+    line = table(spark, sf_dir, "lineitem")
+    n, v = F.col("l_linenumber"), F.col("l_extendedprice")
+    factor = F.when(n == 2, 1.02).when(n == 3, 1.2).when(n == 4, 0.01).when(n == 5, 100.0).otherwise(F.lit(1.0))
+    answer = F.when(n == 6, "I am unable to tell from the text.").when(n == 7, "Yes, demand was strong").otherwise(F.concat(F.lit("The total was $"), F.format_number(v, 2), F.lit(" in all")))
+    gold = F.when(n == 6, "Net sales of the second quarter").when(n == 7, F.when(F.col("l_partkey") % 2 == 0, "Yes. Demand stayed strong overall").otherwise("No, output fell over the whole of last summer")).otherwise(F.format_string("%.2f", v * factor))
+    rows = line.select("l_orderkey", n.alias("l_linenumber"), answer.alias("a"), gold.alias("g"))
+    return rows.select("l_orderkey", "l_linenumber", relevance.answer_class(F.col("a"), F.col("g")).alias("label"))
+
+
+ANSWERS = """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(printf('%.2f', l_extendedprice) AS DOUBLE) AS v,
+  CAST(printf('%.2f', l_extendedprice * CASE l_linenumber WHEN 2 THEN 1.02 WHEN 3 THEN 1.2 WHEN 4 THEN 0.01 WHEN 5 THEN 100.0 ELSE 1.0 END) AS DOUBLE) AS g FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 6 THEN 'Refusal' WHEN l_linenumber = 7 THEN CASE WHEN l_partkey % 2 = 0 THEN 'Correct' ELSE 'Incorrect' END
+  WHEN abs(v - g) < 0.015 OR abs(v / 100 - g) < 0.005 OR abs(v * 100 - g) < 0.5 OR (g <> 0 AND least(abs(v - g), abs(v / 100 - g), abs(v * 100 - g)) / abs(g) < 0.025) THEN 'Correct' ELSE 'Incorrect' END AS label FROM r"""
 
 QUERIES = {
     "canonical_blocks": (canonical_blocks, BLOCKS),

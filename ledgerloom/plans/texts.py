@@ -184,10 +184,12 @@ _TITLES = {
 
 
 def statement_types(spark, sf_dir):
-    """Orders whose titles name one of the statements, by the statement recognised."""
+    """Orders whose titles name one of the statements, in several letter cases and spacings, by the statement recognised."""
     names = F.array(*[F.lit(t) for t in _TITLES.values()])
     title = F.element_at(names, (F.col("o_orderkey") % len(_TITLES) + 1).cast("int"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("ACME "), title, F.lit(" 2024")).alias("title"))
+    way = F.col("o_custkey") % 4
+    shape = F.when(way == 0, F.upper(title)).when(way == 1, F.lower(title)).when(way == 2, F.replace(title, F.lit(" "), F.lit("  \t"))).otherwise(F.replace(title, F.lit("’"), F.lit("")))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("ACME "), shape, F.lit(" and Other Matters, "), F.col("o_orderkey").cast("string")).alias("title"))
     return orders.select("o_orderkey", text.statement_type(F.col("title")).alias("statement"))
 
 
@@ -309,12 +311,14 @@ SELECT doc_id, item_id FROM n, a WHERE CASE WHEN a.n < 5 THEN contains(t, whole)
 
 
 def chunk_keys(spark, sf_dir):
-    """Deterministic ids: the key of a chunk's name and its version 5 UUID's digest by a second way."""
+    """Deterministic ids: the key of a chunk's name and its version 5 UUID."""
     names = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" ACME-"), F.col("p_partkey").cast("string"), F.lit("__Child.01 ")).alias("name"))
-    return names.select("p_partkey", text.chunk_key(F.col("name")).alias("key"), F.length(text.uuid5(F.col("name"))).cast("long").alias("uuid_length"))
+    return names.select("p_partkey", text.chunk_key(F.col("name")).alias("key"), text.uuid5(F.col("name")).alias("uuid"))
 
 
-KEYS = "SELECT p_partkey, 'acme_' || p_partkey || '_child_01' AS key, CAST(36 AS BIGINT) AS uuid_length FROM part"
+KEYS = """WITH h AS (SELECT p_partkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(' ACME-' || p_partkey || '__Child.01 ')) AS h FROM part)
+SELECT p_partkey, 'acme_' || p_partkey || '_child_01' AS key,
+  h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS uuid FROM h"""
 
 
 def evidence_hits(spark, sf_dir):
