@@ -8,14 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows of a side table that is broadcast; above it, tables are shuffled and salted.
-BROADCAST_ROWS = 200_000
+from ledgerloom.operators.joins import BROADCAST_ROWS, checked_join
+
 #: Bytes of an Arrow batch that goes to a Python worker, so that long texts don't pile up there.
 BATCH_BYTES = "4m"
 #: Rows for which a table takes another file.
 FILE_ROWS = 50_000
-#: Copies of each row of the smaller side when a join is salted.
-SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,17 +56,9 @@ def forget(*tables: DataFrame | None) -> None:
             at.getFileSystem(conf).delete(at.getParent(), True)
 
 
-def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a large table with one that is usually small, without one hot key landing in one task.
-
-    The small side is counted. Up to `limit` rows it is broadcast; beyond that every row of it is copied
-    once for each salt and the large side is salted at random by row, so a hot key is spread over SALTS tasks.
-    """
-    if small.limit(limit + 1).count() <= limit:
-        return big.join(F.broadcast(small), keys, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join a large table with one that is usually small, without one hot key landing in one task; see `checked_join`."""
+    return checked_join(big, small, keys, how)
 
 
 def join_listed(rows: DataFrame, listed: DataFrame, key: str, inner: bool = False, limit: int = BROADCAST_ROWS) -> DataFrame:
