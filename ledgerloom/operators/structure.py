@@ -30,7 +30,7 @@ _UNIT_TAIL = re.compile(r"\s*(\((?:amounts?\s+)?in\s+(?:millions?|thousands?|bil
 _RULE = re.compile(r"^\|?\s*(?::?-+:?\s*\|\s*)*:?-+:?\s*\|?$")
 _TOP = re.compile(r"^(?:(?:NOTE|THUYẾT\s+MINH|ITEM|MỤC)\s*\d|PART\s+[IVX]+|FORM\s+10-[KQ])")
 _CONTINUED = re.compile(vocab.CONTINUED_HEADING, re.I)
-_FOOTNOTE = re.compile(r"^\s*(?:" + "|".join(vocab.FOOTNOTE_FORMS) + ")", re.I)
+_FOOTNOTE = re.compile(vocab.FOOTNOTE, re.I)
 
 
 def fiscal_calendar(blocks: DataFrame, cover_pages: int = 4, pages: int = 15, longest: int = 200) -> DataFrame:
