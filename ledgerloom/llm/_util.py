@@ -14,6 +14,8 @@ from ledgerloom.operators.joins import BROADCAST_ROWS, checked_join
 BATCH_BYTES = "4m"
 #: Rows for which a table takes another file.
 FILE_ROWS = 50_000
+#: Keys with lists for which a join takes another task.
+LISTED_ROWS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,12 +66,14 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
 def join_listed(rows: DataFrame, listed: DataFrame, key: str, inner: bool = False, limit: int = BROADCAST_ROWS) -> DataFrame:
     """rows with the columns of listed, which has one row of any size for some keys; without inner, rows of other keys stay.
 
-    Up to `limit` keys, they alone are broadcast, and only the rows that have one are shuffled; beyond, all rows are.
+    Up to `limit` keys, they alone are broadcast, and only the rows that have one are shuffled, into a task for each
+    LISTED_ROWS keys at most; beyond, all rows are.
     """
-    if listed.limit(limit + 1).count() > limit:
+    n = listed.limit(limit + 1).count()
+    if n > limit:
         return rows.join(listed, key, "inner" if inner else "left")
     keys = F.broadcast(listed.select(key))
-    found = rows.join(keys, key, "left_semi").join(listed.hint("merge"), key)
+    found = rows.join(keys, key, "left_semi").join(listed.hint("merge"), key).coalesce(n // LISTED_ROWS + 1)
     if inner:
         return found
     return found.unionByName(rows.join(keys, key, "left_anti"), allowMissingColumns=True)
