@@ -240,7 +240,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -
             keep = pa.array([jaccard(x, y) >= similarity for x, y in zip(get(2), get(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
-    links = materialize(both.transform(map_arrow, run, "u long, v long"), "links", pairs.count())
+    links = materialize(both.transform(map_arrow, run, "u long, v long"), "links", 8 * pairs.count())  # rows with two lists weigh more
     forget(ids, sets)
     return links
 
