@@ -446,7 +446,7 @@ def link(classes: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, DataFra
         counts = found.filter("kind = 0").groupBy("u").agg(F.sum("v").alias("linked"))
         recall, tested = (1.0, 0) if exact else audit(classes, counts, radius)
         forget(members)
-        if recall is None or recall >= GOAL:
+        if exact or recall is None or recall >= GOAL:
             break
         forget(found)
         beam, overlap = 2 * beam, overlap + 2
