@@ -32,7 +32,7 @@ from ledgerloom.llm.simhash import _pairs, _runs, close_pairs, close_to, streame
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS = 256
-#: Share of pairs exactly at the similarity that get a common key; pairs above it do better (0.999 at 0.83).
+#: Share of pairs exactly at the similarity that get a common key; pairs above it do better (0.999 at 0.85).
 RECALL = 0.99
 #: Classes of a key that are compared all with all at once; rows of a key that are read together; rows of two tiles.
 STAR, PIECE, CAP = 32, 1 << 15, 4096
