@@ -43,12 +43,12 @@ def total(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return _side(pairs, keys, F.col("a") + F.col("b"))
 
 
-def agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, recall, precision, missing, extra): a is the source, b the output; an empty side agrees fully."""
+def agreement(pairs: DataFrame, keys: list[str], empty: float = 1.0) -> DataFrame:
+    """(keys, recall, precision, missing, extra): a is the source, b the output; a side without tokens agrees by `empty`, fully."""
     common, a, b = F.sum(F.least("a", "b")), F.sum("a"), F.sum("b")
     return pairs.groupBy(*keys).agg(
-        F.when(a == 0, F.lit(1.0)).otherwise(common / a).alias("recall"),
-        F.when(b == 0, F.lit(1.0)).otherwise(common / b).alias("precision"),
+        F.when(a == 0, F.lit(empty)).otherwise(common / a).alias("recall"),
+        F.when(b == 0, F.lit(empty)).otherwise(common / b).alias("precision"),
         (a - common).alias("missing"),
         (b - common).alias("extra"),
     )
