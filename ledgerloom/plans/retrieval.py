@@ -124,7 +124,7 @@ POOLED = f"""WITH {BM25} SELECT item_id, CAST(length(t) AS BIGINT) AS n_chars, m
 def containment_topk(spark, sf_dir, k=3):
     """The documents that hold most of each passage's tokens."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = multisets.containment(items, "item_id", docs, "doc_id", text.tokens(F.col("text")), text.tokens(F.col("text")))
+    found = multisets.containment(items, "item_id", docs, "doc_id", text.tokens(F.col("text")), text.tokens(F.col("text")), best=k)
     return search.ranked(found.withColumn("containment", F.round("containment", 6)), "item_id", "doc_id", k, "containment")
 
 
