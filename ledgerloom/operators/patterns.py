@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.batches import in_arrow
+
 #: Strings of one automaton, which every task gets; more of them take several passes over the texts.
 BLOCK = 50_000
 
@@ -22,7 +24,7 @@ def holding(texts: DataFrame, item: str, content: Column, needles: DataFrame, ne
     parts = max(1, -(-asked.count() // block))
     rows = texts.select(F.col(item), content.cast("string").alias("_text")).filter("_text is not null")
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name == item] + [f"{needle} {asked.schema['id'].dataType.simpleString()}"]
-    found = [rows.mapInArrow(_search(asked.filter(F.pmod(F.xxhash64("s"), F.lit(parts)) == i).toArrow(), item, needle), ", ".join(kinds)) for i in range(parts)]
+    found = [in_arrow(rows, _search(asked.filter(F.pmod(F.xxhash64("s"), F.lit(parts)) == i).toArrow(), item, needle), ", ".join(kinds)) for i in range(parts)]
     return reduce(DataFrame.unionByName, found)
 
 

@@ -90,7 +90,7 @@ def map_gold(questions: DataFrame, chunks: DataFrame, query: str, item: str, evi
     least = level_threshold(F.col("difficulty"), 2)
     asked = questions.filter("difficulty <> 'L5'")
     tokens = lambda c: text.tokens(text.drop_thousands(F.coalesce(c, F.lit(""))))
-    found = multisets.containment(asked, query, chunks, item, tokens(evidence), tokens(content))
+    found = multisets.containment(asked.withColumn("least", least), query, chunks, item, tokens(evidence), tokens(content), best=1, least="least")
     words = asked.select(query, F.explode(F.array_distinct(F.transform("keywords", lambda k: F.lower(text.drop_thousands(k))))).alias("word")).filter("word <> ''")
     held = patterns.holding(chunks, item, F.lower(text.drop_thousands(F.coalesce(content, F.lit("")))), words.select("word").distinct(), "word", F.col("word"))
     wanted = words.groupBy(query).agg(F.count("*").alias("wanted"))
