@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
+from ledgerloom.operators.batches import are_unique, counted, in_arrow, term_counts
 from ledgerloom.operators.joins import checked_join
 
 #: Constant of reciprocal rank fusion; weights of the lexical score.
@@ -271,11 +272,19 @@ def search(
 
 
 def sparse_vectors(chunks: DataFrame, item: str, tokens: Column) -> DataFrame:
-    """(item, indices, weights): BM25 term weights of each chunk, without document frequencies; terms by 31-bit hash."""
+    """(item, indices, weights): BM25 term weights of each chunk, without document frequencies; terms by 31-bit hash.
+
+    Chunks are counted where they lie; only where their ids repeat are terms shuffled.
+    """
     sized = chunks.select(item, tokens.alias("_tokens")).withColumn("size", F.size("_tokens"))
     mean = sized.agg(F.avg("size")).first()[0] or 1.0
-    tf = sized.select(item, "size", F.explode("_tokens").alias("term")).groupBy(item, "size", "term").agg(F.count("*").alias("tf"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
-    pairs = tf.select(item, F.struct(F.pmod(F.xxhash64("term"), F.lit(1 << 31)).alias("index"), weight.alias("weight")).alias("p"))
-    sorted_ = pairs.groupBy(item).agg(F.array_sort(F.collect_list("p")).alias("p"))
+    if are_unique(chunks, [item]):
+        tf = counted(sized, [item, "size"], F.col("_tokens")).filter(F.size("tokens") > 0)
+        weight = lambda n: n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
+        sorted_ = tf.select(item, F.array_sort(F.zip_with("tokens", "n0", lambda t, n: F.struct(F.pmod(F.xxhash64(t), F.lit(1 << 31)).alias("index"), weight(n).alias("weight")))).alias("p"))
+    else:
+        tf = sized.select(item, "size", F.explode("_tokens").alias("term")).groupBy(item, "size", "term").agg(F.count("*").alias("tf"))
+        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
+        pairs = tf.select(item, F.struct(F.pmod(F.xxhash64("term"), F.lit(1 << 31)).alias("index"), weight.alias("weight")).alias("p"))
+        sorted_ = pairs.groupBy(item).agg(F.array_sort(F.collect_list("p")).alias("p"))
     return sorted_.select(item, F.transform("p", lambda x: x["index"]).alias("indices"), F.transform("p", lambda x: x["weight"]).alias("weights"))
