@@ -165,7 +165,7 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, item: str, query: str,
 def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int, item: str = "doc_id", query: str = "item_id", chunk_tokens: Column | None = None, query_tokens: Column | None = None, digits: int = 6) -> DataFrame:
     """(query, item, score, rank) of the k best by BM25, of the chunks that share a term with the query.
 
-    Up to CELLS queries times terms, their weights are one matrix that every task gets; a batch of chunks is scored by a
+    Up to CELLS queries times terms, their weights are one matrix that every task gets; a batch of chunks, of few MB, is scored by a
     product and keeps its own k best, so only these are shuffled. Beyond that, scores come from joins. Null ids are left out.
     """
     chunk_tokens = text.tokens(F.col("text")) if chunk_tokens is None else chunk_tokens
@@ -183,12 +183,12 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int, item: str = "doc
         n = size = 0
         df = np.zeros(len(terms), np.int64)
         for b in batches:
-            doc, term, _, length = _term_counts(b, terms)
+            _, term, _, length = term_counts(b.column(1), terms)
             n, size = n + b.num_rows, size + int(length.sum())
             df += np.bincount(term, minlength=len(terms))
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, -2, np.arange(len(terms))]), pa.array(np.r_[n, size, df])], ["key", "n"])
 
-    total = {r[0]: r[1] for r in rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n")).collect()}
+    total = {r[0]: r[1] for r in in_arrow(rows, count, "key long, n long").groupBy("key").agg(F.sum("n")).collect()}
     n, mean = total.get(-1, 0), total.get(-2, 0) / max(total.get(-1, 0), 1) or 1.0
     df = np.array([total.get(i, 0) for i in range(len(terms))], float)
     weights = np.zeros((len(terms), len(ids)))
@@ -198,7 +198,7 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int, item: str = "doc
     def best(batches):
         for b in batches:
             items = b.column(0).to_numpy(zero_copy_only=False)
-            doc, term, tf, length = _term_counts(b, terms)
+            doc, term, tf, length = term_counts(b.column(1), terms)
             for lo in range(0, b.num_rows, DOCS):
                 hi = min(lo + DOCS, b.num_rows)
                 own = slice(*np.searchsorted(doc, [lo, hi]))
@@ -212,18 +212,7 @@ def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int, item: str = "doc
                 found = _k_best(ids, items[lo:hi], np.round(scores.T, digits), k, query, item)
                 yield found.filter(pc.greater(found.column(2), 0.0))
 
-    return ranked(rows.mapInArrow(best, f"{query} long, {item} long, score double"), query, item, k)
-
-
-def _term_counts(b: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch (item, tokens): row, term and count of every term that a row has, by row; and the rows' sizes."""
-    lists = b.column(1)
-    length = np.diff(lists.offsets.to_numpy())
-    found = pc.index_in(lists.flatten(), value_set=terms)
-    known = found.is_valid().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(b.num_rows), length)[known]
-    code, tf = np.unique(row * len(terms) + found.drop_null().to_numpy(), return_counts=True)
-    return code // len(terms), code % len(terms), tf, length
+    return ranked(in_arrow(rows, best, f"{query} long, {item} long, score double"), query, item, k)
 
 
 def fuse(legs: list[DataFrame], query: str, item: str, k: int, constant: int = RRF_K, digits: int = 9) -> DataFrame:
