@@ -27,7 +27,7 @@ def order_reports(spark, sf_dir) -> DataFrame:
     label = F.concat(F.lit("Part "), F.col("l_partkey").cast("string"), F.lit(" no "), F.col("l_linenumber").cast("string"))
     cells = F.when((k == 1) & (F.col("l_linenumber") == 1), F.array(label, price)).when((k == 2), F.array(label, price, n, n)).when((k == 3), F.array(label, F.concat(price, F.lit(" "), n), F.lit(""))).otherwise(F.array(label, price, n))
     row = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
-    body = line.withColumnRenamed("l_orderkey", "o_orderkey").groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("rows"))
+    body = line.withColumnRenamed("l_orderkey", "o_orderkey").groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("rows"))
     body = body.withColumn("rows", F.array_join(F.transform("rows", lambda x: x["row"]), "\n"))
     head = F.when(k == 2, F.lit("| Item | FY2024 | FY2023 | FY2025 |\n| --- | --- | --- | --- |\n")).when(k == 4, F.lit("")).otherwise(F.lit("| Item | FY2024 | FY2023 |\n| --- | --- | --- |\n"))
     top = F.when(k == 6, F.lit("| Parts |  |  |\n")).otherwise(F.lit(""))
