@@ -51,6 +51,8 @@ def fiscal_calendar(blocks: DataFrame, cover_pages: int = 4, pages: int = 15, lo
 def split_cells(line: str) -> list[str]:
     """Trimmed cells of a pipe row; escaped pipes stay."""
     body = line.strip()
+    if "\\" not in body:
+        return [c.strip() for c in body.removeprefix("|").removesuffix("|").split("|")]
     body = body[1:] if body.startswith("|") else body
     body = body[:-1] if body.endswith("|") and not body.endswith("\\|") else body
     return [c.strip().replace("\\|", "|") for c in re.split(r"(?<!\\)\|", body)]
@@ -74,7 +76,8 @@ def page_blocks(document_id: str | None, page: int | None, markdown: str | None)
     n_tables = i = 0
 
     def add(kind, text=None, **more):
-        out.append(dict.fromkeys(_BLOCK_ARROW.names) | {"document_id": document_id, "pdf_page": page, "block_no": len(out) + 1, "kind": kind, "block_id": f"p{page}_b{len(out) + 1:02d}", "text": text, "code": code, "title": title} | more)
+        no = len(out) + 1
+        out.append({"document_id": document_id, "pdf_page": page, "block_no": no, "kind": kind, "block_id": f"p{page}_b{no:02d}", "table_id": None, "level": None, "text": text, "code": code, "title": title, "headers": None, "rows": None, **more})
 
     while i < len(lines):
         line = lines[i].strip()
@@ -89,7 +92,7 @@ def page_blocks(document_id: str | None, page: int | None, markdown: str | None)
         i += 1
         if not line:
             continue
-        head = _HEADING.match(line)
+        head = line[0] == "#" and _HEADING.match(line)
         if not head:
             add("paragraph", line)
             continue
@@ -246,8 +249,11 @@ def per_document(block_rows: DataFrame, work: Callable[[list[dict]], list[dict]]
     """work(blocks of one document in order) for every document, as rows of the schema.
 
     Documents are dealt by id, sorted within a task and streamed, so that many small ones cost no more than their rows;
-    one document's blocks are in memory at a time.
+    one document's blocks are in memory at a time. Pages (document_id, pdf_page, markdown) can be given in the place of
+    their blocks, which are then made in the same pass and not shuffled.
     """
+    if "markdown" in block_rows.columns:
+        return _per_document_of_pages(block_rows, work, schema, arrow)
 
     def run(batches):
         held: list[dict] = []
@@ -267,6 +273,32 @@ def per_document(block_rows: DataFrame, work: Callable[[list[dict]], list[dict]]
     return dealt.mapInArrow(run, schema)
 
 
+def _per_document_of_pages(pages: DataFrame, work: Callable[[list[dict]], list[dict]], schema: str, arrow: pa.Schema) -> DataFrame:
+    def made(name: str | None, held: list[tuple[int | None, str | None]]) -> list[dict]:
+        items = [x for page, markdown in held for x in page_blocks(name, page, markdown)]
+        if len({page for page, _ in held}) < len(held):  # the blocks of a page given twice are in order of their numbers
+            items.sort(key=lambda x: (x["pdf_page"] is not None, x["pdf_page"] or 0, x["block_no"]))
+        return work(items) if items else []
+
+    def run(batches):
+        name, held = None, []
+        for b in batches:
+            out: list[dict] = []
+            for d, page, markdown in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if held and d != name:
+                    out += made(name, held)
+                    held = []
+                name = d
+                held.append((page, markdown))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+        if held:
+            yield pa.RecordBatch.from_pylist(made(name, held), arrow)
+
+    rows = pages.selectExpr("cast(document_id as string) document_id", "cast(pdf_page as int) pdf_page", "cast(markdown as string) markdown")
+    return rows.repartition("document_id").sortWithinPartitions("document_id", "pdf_page").mapInArrow(run, schema)
+
+
 def stitched_tables(block_rows: DataFrame) -> DataFrame:
     """(document_id, table_no, table_id, heading, headers, rows, source_pages, source_tables, footnotes, is_multi_page)."""
 

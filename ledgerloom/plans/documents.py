@@ -39,11 +39,11 @@ def stitched_tables(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
     rows = line.select("l_orderkey", (F.row_number().over(w) - 1).alias("i"), F.concat(F.lit("| Part "), F.col("l_partkey").cast("string"), F.lit(" | "), F.col("l_quantity").cast("int").cast("string"), F.lit(" |")).alias("row"))
-    page = rows.groupBy("l_orderkey", F.floor(F.col("i") / 2).alias("p")).agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("r"))
+    page = rows.groupBy("l_orderkey", F.floor(F.col("i") / 2).alias("p")).agg(F.sort_array(F.collect_list(F.struct("i", "row"))).alias("r"))
     body = F.array_join(F.transform("r", lambda x: x["row"]), "\n")
     head = F.when(F.col("p") == 0, F.concat(F.lit("# Item "), F.col("l_orderkey").cast("string"), F.lit(" Parts\n\n| Part | FY2024 |"))).otherwise(F.lit("| Part | FY2023 |"))
     pages = page.select(F.col("l_orderkey").cast("string").alias("document_id"), (F.col("p") + 1).cast("int").alias("pdf_page"), F.concat(head, F.lit("\n| --- | --- |\n"), body).alias("markdown"))
-    found = structure.stitched_tables(structure.blocks(pages))
+    found = structure.stitched_tables(pages)
     return found.select(F.col("document_id").cast("long").alias("l_orderkey"), F.col("table_no").cast("long").alias("table_no"), F.size("source_pages").cast("long").alias("n_pages"), F.size("rows").cast("long").alias("n_rows"), "is_multi_page", "heading")
 
 
@@ -70,7 +70,7 @@ SELECT 'cust_' || d AS document_id, chunk_no, len(t[chunk_no * 412 + 1 : chunk_n
 
 def _chunks(method):
     def run(spark, sf_dir):
-        found = chunking.chunk(structure.blocks(_pages(spark, sf_dir)), method)
+        found = chunking.chunk(_pages(spark, sf_dir), method)
         return found.select("document_id", "chunk_id", "kind", "level", "parent_id", "token_count", F.size("source_pages").alias("n_pages"), "table_id", F.md5("content").alias("digest"))
 
     run.__doc__ = f"Chunks of the customers' filings by method {method[1]}."
